@@ -31,9 +31,9 @@ from .text import columns
 NONE = np.int32(2**31 - 1)
 LONGEST = 256
 #: A worker's memory of pieces; it starts anew when full, so it is bounded.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Characters of text that are cut before their new pieces are encoded.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 
 
 class BytePairs:

@@ -44,8 +44,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     seen = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("source").alias("a"), F.max("source").alias("b"), F.min(F.struct("doc_id", "at")).alias("first"))
     spread = (F.col("a") != F.col("b")) if min_sites > 1 else F.col("a").isNotNull()
     seen = staged(seen.where((F.col("n") >= min_sites) & spread).select("h1", "h2", "first"), "lines-seen")
-    sites = lines.where("source is not null").join(seen.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "source").distinct()
-    sites = staged(sites, "lines-sites")
+    # Distinct before the join: a line of a third of all documents is a few rows by then.
+    sites = lines.where("source is not null").select("h1", "h2", "source").distinct()
+    sites = staged(sites.join(seen.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_semi"), "lines-sites")
     sketched = sites.groupBy("h1", "h2").agg(F.hll_sketch_agg("source", F.lit(LG_K)).alias("sketch"))
     guess = sketched.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("guess"))
     near = F.abs(F.col("guess") - min_sites) <= F.greatest(F.lit(1.0), F.lit(BAND * min_sites))
@@ -58,18 +59,19 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def decisions(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, drop (places of lines to remove, in order): one row per document that loses a line."""
     lines, flagged = _lines(docs), boilerplate(docs, min_sites)
-    hit = lines.join(flagged, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
+    hit = lines.join(flagged.hint("merge"), ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
     return hit.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "h1"))).alias("drop"))
 
 
 def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with _lines, _removed; text without the lines to remove.
 
-    Only places and hashes are shuffled by line; a text moves at most once, to
-    meet its own places, and not at all where those are few enough to broadcast.
+    Only places and hashes are shuffled by line; a text moves once, to meet its
+    own places. That join is a merge at every size: the places grow with the
+    documents, and their ids are distinct, so it has no skew.
     """
     d = staged(decisions(docs, min_sites), "lines-drop").select(F.col("doc_id").alias("_drop_id"), F.col("drop").alias("_drop"))
-    out = docs.join(d, docs["doc_id"].cast("long") == d["_drop_id"], "left")
+    out = docs.join(d.hint("merge"), docs["doc_id"].cast("long") == d["_drop_id"], "left")
     split = F.split("text", "\n")
     goes = lambda x, i: F.array_contains("_drop", F.struct(i.alias("at"), F.xxhash64(x).alias("h1")))
     kept = F.filter(split, lambda x, i: ~goes(x, i))

@@ -87,7 +87,7 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, weight=
     """
     d = copies(docs, max_epochs, seed, weight).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
     d = d.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"))
-    took = docs.join(d, docs["doc_id"].cast("long").eqNullSafe(d["_mix_id"]) & docs["source"].eqNullSafe(d["_mix_source"]))
+    took = docs.join(d.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(d["_mix_id"]) & docs["source"].eqNullSafe(d["_mix_source"]))
     took = took.where("_mix_copies > 0").withColumn("_mix_copies", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     return took.select(*[docs[f"`{c}`"] for c in docs.columns])
 

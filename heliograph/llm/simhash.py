@@ -232,7 +232,7 @@ def near_dedup(docs: DataFrame, size: int = 3, distance: int = DISTANCE, hot: in
     g = staged(groups(docs, size, distance, hot), "simhash-groups")
     stays = g.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     stays = staged(stays.select(F.col("doc_id").alias("_stays"), "n"), "simhash-stays")
-    kept = docs.join(stays.select("_stays"), docs["doc_id"].cast("long") == F.col("_stays"), "left_semi")
+    kept = docs.join(stays.select("_stays").hint("merge"), docs["doc_id"].cast("long") == F.col("_stays"), "left_semi")
     # Rows that share an id can't be told apart by it; only if there are any must texts move.
     if not stays.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])

@@ -19,7 +19,7 @@ rows repeat. Only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +60,14 @@ def beyond(difference: np.ndarray) -> np.ndarray:
 class Comparison:
     """log p(toxic) - log p(ordinary) of word pairs; class 0 is ordinary, 1 toxic."""
 
-    def __init__(self, texts: list[list[bytes]], toxic: list[int]):
-        vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}), 1)}
+    def __init__(self, texts: Iterable[list[bytes]], toxic: list[int]):
+        vocabulary: dict[bytes, int] = {}
+        texts = [np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in t), np.int64, len(t)) for t in texts]
         self.vocabulary = vocabulary
         size = len(vocabulary) + 1
         triples = [[], []]
         for t, y in zip(texts, toxic):
-            ids = np.concatenate([[0, 0], np.fromiter((vocabulary[w] for w in t), np.int64, len(t))]).astype(np.int64)
+            ids = np.concatenate([[0, 0], t])
             triples[y].append((ids[:-2] * size + ids[1:-1]) * size + ids[2:])
         # Continuation counts at either order: copies of a text repeat its contexts, so they count once.
         known = [np.unique(np.concatenate(t)) % (size * size) if t else np.zeros(0, np.int64) for t in triples]
@@ -139,22 +140,26 @@ class Comparison:
         return 1 / (1 + np.exp(-np.clip(self.a * self.differences(texts) + self.b, -60, 60)))
 
 
-def learn(labelled: DataFrame, train_words: int = TRAIN_WORDS) -> Comparison | float:
-    """labelled: doc_id, text, toxic, fit (false: kept for calibration)."""
-    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.sum(n_words(F.col("text")) + 1).alias("n")).collect()}
+def learn(docs: DataFrame, marked: DataFrame, train_words: int = TRAIN_WORDS) -> Comparison | float:
+    """docs: the doc_id and text to learn from; marked: doc_id, toxic.
+
+    The draw needs ids and sizes only, so no text is moved: the drawn ids, each
+    of at least one of the bounded number of words, are broadcast to the texts.
+    """
+    sized = staged(docs.select("doc_id", (n_words(F.col("text")) + 1).alias("n")).join(marked, "doc_id"), "toxic-sizes")
+    sizes = {r["toxic"]: r["n"] for r in sized.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     if len(sizes) < 2:
         return float(next(iter(sizes), 0))
     rate = F.lit(0.0)
     for y, n in sizes.items():
         rate = F.when(F.col("toxic") == y, min(1.0, 1.25 * train_words / n)).otherwise(rate)
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < rate * 1_000_003).orderBy("doc_id", "text").collect()
-    texts = [(tokens(r["text"]), r["toxic"], r["fit"]) for r in drawn]
-    fit = [(t, y) for t, y, f in texts if f]
-    model = Comparison([t for t, _ in fit], [y for _, y in fit])
-    rest = [(t, y) for t, y, f in texts if not f]
+    ids = sized.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < rate * 1_000_003).groupBy("doc_id").agg(F.first("toxic").alias("toxic"))
+    drawn = docs.join(F.broadcast(ids), "doc_id").withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(5)) > 0).orderBy("doc_id", "text").collect()
+    model = Comparison((tokens(r["text"]) for r in drawn if r["fit"]), [r["toxic"] for r in drawn if r["fit"]])
+    rest = [r for r in drawn if not r["fit"]]
     if rest:
-        # Classes were drawn at different rates; weights would undo that, but an even prior is what 0.5 should split.
-        model.calibrate(model.differences([t for t, _ in rest]), np.array([y for _, y in rest], float))
+        # Classes were drawn at different rates, so 0.5 splits an even prior.
+        model.calibrate(model.differences([tokens(r["text"]) for r in rest]), np.array([r["toxic"] for r in rest], float))
     return model
 
 
@@ -162,8 +167,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """docs with held_out and score; learned from the labels outside fold 0."""
     marked = columns(labels, doc_id="long", toxic="int").dropna().groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("t2")).where("toxic = t2 and toxic in (0, 1)").drop("t2")
     d = columns(docs, doc_id="long", text="string")
-    labelled = d.where(fold(F.col("doc_id"), folds) != 0).join(marked, "doc_id")
-    model = learn(staged(labelled.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(5)) > 0), "toxic-labelled"))
+    model = learn(d.where(fold(F.col("doc_id"), folds) != 0), marked)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
