@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, line_dedup, mixing, quality_rules, simhash, toxicity
+from . import bpe, context_tree, language_id, line_dedup, mixing, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_simhash": simhash.op4_simhash,
+    "op5_context_tree": context_tree.op5_context_tree,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": language_id.op10_language_id,
