@@ -41,7 +41,7 @@ from .text import columns, fold
 
 DEPTH = 5
 SHARD = 6_000_000
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 END = xxhash.xxh64_intdigest(b"\n")
 _U = np.uint64
 
@@ -115,7 +115,7 @@ def counts(docs: DataFrame) -> DataFrame:
             if ws:
                 add(ws)
             for kind in (0, 1):  # what a task holds is bounded, however large its partition
-                if sum(len(k) for k, _ in held[kind]) > 3_000_000:
+                if sum(len(k) for k, _ in held[kind]) > 1_500_000:
                     yield out(kind)
         for kind in (0, 1):
             if held[kind]:
@@ -166,8 +166,7 @@ class Tree:
     """The contexts of `least` to DEPTH bytes in a table of counted runs."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, least: int = 2):
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
+        """keys are sorted."""
         self.least = least
         self.keys: dict[int, np.ndarray] = {}
         self.sums: dict[int, np.ndarray] = {}
@@ -280,10 +279,18 @@ def short_orders(pairs: dict[int, int], weighted: np.ndarray, contexts: np.ndarr
 
 
 def _shard(df: DataFrame, word: bool, s: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """One shard of the counts as arrays; cut by the two bytes before the last, or by the word."""
+    """One shard of the counts as arrays, sorted; cut by the two bytes before the last, or by the word."""
     part = F.pmod("key", F.lit(shards)) if word else F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(shards))
     got = df.where((F.col("word") == word) & (part == s)).select("key", "n").toArrow()
-    return got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    key, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def _narrow(shard: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in 32 bits where they fit."""
+    key, n = shard
+    return key, n.astype(np.int32) if len(n) and n.max() < 2**31 else n
 
 
 def _orders(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,7 +301,8 @@ def _orders(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if got:
             t = pa.Table.from_batches(got)
             k, n = t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy()
-            tree = Tree(k, n)
+            order = np.argsort(k)
+            tree = Tree(k[order], n[order])
             ctx = tree.contexts[2]
             yield pa.RecordBatch.from_arrays([pa.array(ctx.view(np.int64)), pa.array(tree.weighted)], ["context", "weighted"])
 
@@ -311,11 +319,8 @@ class Scorer:
     def __init__(self, sent: tuple):
         (k, n), (wk, wn), (self.add, self.share, self.bare), self.total, self.distinct, self.s, self.shards, self.parts = sent
         self.tree = Tree(k, n)
-        self.words = Lookup(wk)
-        c = wn[self.words.order]
-        self.log = np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
+        self.words, self.n = Lookup(wk, spread=False), wn
         self.unknown = math.log10(0.1 / (self.total + 0.1 * (self.distinct + 1)))
-        del self.words.order
 
     def score(self, ws: list[list[bytes]]) -> tuple[np.ndarray, ...]:
         """Per text, over what this shard decides: known tokens, base, score."""
@@ -326,8 +331,11 @@ class Scorer:
             mine = np.mod(h.view(np.int64), self.shards) == self.s
             h, owner = h[mine], owner[mine]
         at = self.words.find(h)
-        known = np.bincount(owner, at >= 0, len(ws)).astype(np.int64)
-        base = np.bincount(owner, np.where(at >= 0, self.log[at] if len(self.log) else 0, self.unknown), len(ws))
+        have = at >= 0
+        known = np.bincount(owner, have, len(ws)).astype(np.int64)
+        value = np.full(len(at), self.unknown)
+        value[have] = np.log10((self.n[at[have]] + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
+        base = np.bincount(owner, value, len(ws))
         texts = [serial(w) for w in ws]
         q = grams(texts)
         owner = np.repeat(np.arange(len(ws)), np.fromiter(map(len, texts), np.int64, len(ws)))
@@ -364,7 +372,7 @@ def score(docs: DataFrame, folds: int = 10, shard: int = SHARD) -> DataFrame:
     schema = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, n_bytes long, base_score double, score double"
     passes = []
     for s in range(shards):
-        sent = spark.sparkContext.broadcast((_shard(found, False, s, shards), _shard(found, True, s, shards), orders, total, distinct, s, shards, parts))
+        sent = spark.sparkContext.broadcast((_shard(found, False, s, shards), _narrow(_shard(found, True, s, shards)), orders, total, distinct, s, shards, parts))
         name = f"{id(sent)}-{sent._jbroadcast.id()}-{spark.sparkContext.applicationId}"
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:

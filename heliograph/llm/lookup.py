@@ -19,17 +19,26 @@ def mixed(keys: np.ndarray) -> np.ndarray:
 class Lookup:
     """Distinct 64-bit keys, sorted after mixing, with an index on their leading bits."""
 
-    def __init__(self, keys: np.ndarray):
-        m = mixed(keys)
-        self.order = np.argsort(m, kind="stable")
-        self.keys = m[self.order]
-        bits = max(1, int(len(m)).bit_length())
+    def __init__(self, keys: np.ndarray, spread: bool = True):
+        """spread=False: the keys are evenly spread hashes, and sorted; then they are used as they are."""
+        self.spread = spread
+        if spread:
+            m = mixed(keys)
+            self.order = np.argsort(m)
+            self.keys = m[self.order]
+        else:
+            self.keys = keys
+        bits = max(1, int(len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.starts = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.starts = np.zeros((1 << bits) + 1, np.int32)
+        for k in range(0, len(self.keys), 1 << 20):  # by parts, so that little memory is needed besides
+            at, n = np.unique(self.keys[k : k + (1 << 20)] >> self.shift, return_counts=True)
+            self.starts[at.astype(np.int64) + 1] += n.astype(np.int32)
+        np.cumsum(self.starts, out=self.starts)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key in the order of self.keys, -1 where it is missing."""
-        q = mixed(keys)
+        q = mixed(keys) if self.spread else keys
         at = (q >> self.shift).astype(np.int64)
         place, end = self.starts[at], self.starts[at + 1]
         out = np.full(len(q), -1, np.int64)
