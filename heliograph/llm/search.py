@@ -3,9 +3,9 @@
 Documents are indexed in shards of at most SHARD_DOCS rows and about SHARD_WORDS
 words: sorted term hashes, and for each term its postings in document order. A
 shard's documents are cut into blocks of BLOCK_DOCS. For a query, the sums over
-its terms of the best impact in each block bound what the block can hold; blocks
-are scored from the highest bound down, until no bound reaches the k-th score
-found. Global statistics (documents, mean length, document frequencies of the
+its terms of the best impact in each block bound what the block can hold; the
+blocks of highest bound are scored first, and of the others only those whose
+bound reaches the k-th score found. Global statistics (documents, mean length, document frequencies of the
 queries' terms) are counted over all rows first, so scores are the same in any
 shard, and the best k of all shards' best k are exact.
 
@@ -37,9 +37,13 @@ from .text import columns
 K = 10
 K1, B = 1.2, 0.75
 EVERY = 100
-SHARD_DOCS, SHARD_WORDS = 8192, 3_000_000
+SHARD_DOCS, SHARD_WORDS = 8192, 4_000_000
 BLOCK_DOCS = 64
 QUERY_TERMS = 2_000_000
+#: A term in one of so many documents of a shard is kept as a row of a matrix.
+FREQUENT = 32
+#: Queries that a shard scores together.
+BATCH = 128
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -120,47 +124,66 @@ class Shard:
         self.doc = np.frombuffer(row["doc"], np.int32)
         tf = np.frombuffer(row["tf"], np.int32).astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / max(mean, 1e-9)))[self.doc])
-        # Runs of postings of one term in one block, with their best impact.
-        block = self.doc // BLOCK_DOCS
-        new = np.ones(len(block), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[self.offsets[:-1][self.offsets[:-1] < len(new)]] = True
-        self.run = np.append(np.flatnonzero(new), len(block))
-        self.best = np.maximum.reduceat(self.impact, self.run[:-1]) if len(block) else np.zeros(0)
-        self.block = block[self.run[:-1]]
-        self.runs = np.searchsorted(self.run, self.offsets)
-        self.blocks = -(-len(self.ids) // BLOCK_DOCS)
-
-    @staticmethod
-    def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All numbers of the ranges, and which range each is of."""
+        self.blocks = max(1, -(-len(self.ids) // BLOCK_DOCS))
+        wide = self.blocks * BLOCK_DOCS
+        # Terms in many of the documents as rows of a matrix, with their best impact in each block.
+        n = np.diff(self.offsets)
+        often = np.flatnonzero(n >= max(2, wide // FREQUENT))
+        self.row = np.full(len(self.terms), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), wide))
+        for r, t in enumerate(often):
+            mine = slice(self.offsets[t], self.offsets[t + 1])
+            self.dense[r, self.doc[mine]] = self.impact[mine]
+        self.best = self.dense.reshape(len(often), self.blocks, BLOCK_DOCS).max(2) if len(often) else np.zeros((0, self.blocks))
+
+    def top(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For a batch of queries, numbered from 0, with a weight for each (query, term):
+        the query, document and score of each one's best k and all that tie with the last of them.
+
+        The few postings of rare terms are added up first. What a block can hold
+        is the most that they give one of its documents, and the best impacts of
+        the frequent terms; these are summed for all queries by one product. The
+        four blocks of highest bound give each query a k-th score to begin with,
+        and only blocks whose bound reaches it are scored.
+        """
+        wide = self.blocks * BLOCK_DOCS
+        row = self.row[term]
+        rare = np.flatnonzero(row < 0)
+        start, end = self.offsets[term[rare]], self.offsets[term[rare] + 1]
         n = end - start
-        which = np.repeat(np.arange(len(n)), n)
-        return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), which
-
-    def top(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Local documents and scores: the best k, and all that tie with the last of them."""
-        entry, owner = self._ranges(self.runs[term], self.runs[term + 1])
-        bound = np.bincount(self.block[entry], self.best[entry] * weight[owner], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        scores = np.zeros(self.blocks * BLOCK_DOCS)
-        least, at, step = 0.0, 0, 4
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] + 2e-6 >= least:
-            chosen = np.zeros(self.blocks, bool)
-            some = order[at : at + step]
-            chosen[some[bound[some] + 2e-6 >= least]] = True
-            mine = chosen[self.block[entry]]
-            e = entry[mine]
-            p, which = self._ranges(self.run[e], self.run[e + 1])
-            scores += np.bincount(self.doc[p], self.impact[p] * weight[owner[mine]][which], len(scores))
-            at, step = at + step, step * 4
-            if np.count_nonzero(scores) >= k:
-                least = np.partition(scores, -k)[-k]
-        rounded = np.round(scores, 6)
-        hit = np.flatnonzero(scores > 0)
-        if len(hit) > k:
-            hit = hit[rounded[hit] >= np.partition(rounded[hit], -k)[-k]]
-        return hit, rounded[hit]
+        which = np.repeat(rare, n)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+        scores = np.bincount(query[which] * wide + self.doc[at], self.impact[at] * weight[which], queries * wide).reshape(queries, wide)
+        w = np.zeros((queries, len(self.dense)))
+        often = row >= 0
+        w[query[often], row[often]] = weight[often]
+        bound = scores.reshape(queries, self.blocks, BLOCK_DOCS).max(2) + w @ self.best
+        done = np.zeros((queries, self.blocks), bool)
+
+        def add(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)):
+                q = np.flatnonzero(wanted[:, b])
+                here = slice(b * BLOCK_DOCS, (b + 1) * BLOCK_DOCS)
+                scores[q, here] += w[q] @ self.dense[:, here]
+            done[wanted] = True
+
+        first = np.zeros_like(done)
+        if self.blocks > 4:
+            np.put_along_axis(first, np.argpartition(-bound, 3, axis=1)[:, :4], True, 1)
+        add((first | (self.blocks <= 4)) & (bound > 0))
+
+        def kth() -> np.ndarray:
+            full = np.where(np.repeat(done, BLOCK_DOCS, 1), scores, 0)
+            return np.partition(full, -k, axis=1)[:, -k] if wide >= k else np.zeros(queries)
+
+        add(~done & (bound > 0) & (bound + 2e-6 >= kth()[:, None]))
+        scores[~np.repeat(done, BLOCK_DOCS, 1)] = 0
+        least = np.partition(scores, -k, axis=1)[:, -k] if wide >= k else np.zeros(queries)
+        q, d = np.nonzero((scores > 0) & (scores + 2e-6 >= least[:, None]))
+        score = np.round(scores[q, d], 6)
+        keep = score >= np.round(least, 6)[q]
+        return q[keep], d[keep], score[keep]
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, index: DataFrame | None = None) -> DataFrame:
@@ -193,12 +216,16 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, index: DataFrame | N
                     at = np.minimum(np.searchsorted(shard.terms, term), len(shard.terms) - 1)
                     have = np.flatnonzero(shard.terms[at] == term)
                     q, at, w = qid[have], at[have], weight[have]
-                    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+                    number, local = np.unique(q, return_inverse=True)
                     out: list[list] = [[], [], []]
-                    for a, b in zip(first, np.append(first[1:], len(q))):
-                        hit, score = shard.top(at[a:b], w[a:b], k)
-                        out[0].append(np.full(len(hit), q[a]))
-                        out[1] += [shard.ids[h] for h in hit]
+                    cut = np.searchsorted(local, np.arange(0, len(number) + BATCH, BATCH))
+                    for j, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                        if a == b:
+                            continue
+                        size = min(BATCH, len(number) - j * BATCH)
+                        at_q, hit, score = shard.top(local[a:b] - j * BATCH, at[a:b], w[a:b], size, k)
+                        out[0].append(number[at_q + j * BATCH])
+                        out[1] += [shard.ids[h] for h in hit.tolist()]
                         out[2].append(score)
                     if out[0]:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(out[1], pa.int64()), pa.array(np.concatenate(out[2]))], ["query_id", "doc_id", "score"])
