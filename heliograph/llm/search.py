@@ -37,13 +37,13 @@ from .text import columns
 K = 10
 K1, B = 1.2, 0.75
 EVERY = 100
-SHARD_DOCS, SHARD_WORDS = 8192, 4_000_000
+SHARD_DOCS, SHARD_WORDS = 4096, 2_000_000
 BLOCK_DOCS = 64
 QUERY_TERMS = 2_000_000
 #: A term in one of so many documents of a shard is kept as a row of a matrix.
-FREQUENT = 32
+FREQUENT = 16
 #: Queries that a shard scores together.
-BATCH = 128
+BATCH = 256
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
