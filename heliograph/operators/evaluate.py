@@ -29,18 +29,18 @@ def roc(ranked: DataFrame) -> DataFrame:
     steps = ranked.groupBy("group", "score").agg(F.sum("relevant").alias("p"), F.sum(1 - F.col("relevant")).alias("n"))
     w = W.partitionBy("group").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
     every = W.partitionBy("group")
-    steps = steps.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w), "P": F.sum("p").over(every), "N": F.sum("n").over(every)})
+    steps = steps.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w), "all_p": F.sum("p").over(every), "all_n": F.sum("n").over(every)})
     area = F.col("n") * (2 * F.col("tp") - F.col("p")) / 2.0
-    miss, false = 1 - F.col("tp") / F.col("P"), F.col("fp") / F.col("N")
-    return steps.groupBy("group").agg((F.sum(area) / F.max("P") / F.max("N")).alias("auc"), F.min_by((miss + false) / 2, F.struct(F.abs(miss - false), -F.col("score"))).alias("eer"))
+    miss, false = 1 - F.col("tp") / F.col("all_p"), F.col("fp") / F.col("all_n")
+    return steps.groupBy("group").agg((F.sum(area) / F.max("all_p") / F.max("all_n")).alias("auc"), F.min_by((miss + false) / 2, F.struct(F.abs(miss - false), -F.col("score"))).alias("eer"))
 
 
 def best_threshold(ranked: DataFrame) -> DataFrame:
     """group, threshold, f: the score from which on detections give the best F-measure."""
     steps = ranked.groupBy("group", "score").agg(F.sum("relevant").alias("p"), F.count("*").alias("n"))
     w = W.partitionBy("group").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    steps = steps.withColumns({"tp": F.sum("p").over(w), "taken": F.sum("n").over(w), "P": F.sum("p").over(W.partitionBy("group"))})
-    steps = steps.withColumn("f", 2.0 * F.col("tp") / (F.col("taken") + F.col("P")))
+    steps = steps.withColumns({"tp": F.sum("p").over(w), "taken": F.sum("n").over(w), "all_p": F.sum("p").over(W.partitionBy("group"))})
+    steps = steps.withColumn("f", 2.0 * F.col("tp") / (F.col("taken") + F.col("all_p")))
     return steps.groupBy("group").agg(F.max_by("score", F.struct("f", "score")).alias("threshold"), F.max("f").alias("f"))
 
 
