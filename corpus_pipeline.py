@@ -1,7 +1,7 @@
 """A training corpus from documents, in five stages that are operators of heliograph.llm.
 
-Toxic documents go, boilerplate lines stay only where they stand first, one
-document of every near-duplicate group stays, sources are repeated or thinned
+Toxic documents go, boilerplate lines stay only where they stand first (and a
+document that has nothing else goes), one document of every near-duplicate group stays, sources are repeated or thinned
 to their target weights, and what is left becomes token ids. Every stage reads
 all rows that the one before it kept, and all but the last return the columns
 of the documents they were given.
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, drop_emptied=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,9 +79,15 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return out.withColumn("_kept", text)
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """The rows and columns of docs; n_chars follows the text where it changes."""
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, drop_emptied: bool = False) -> DataFrame:
+    """The rows and columns of docs; n_chars follows the text where it changes.
+
+    drop_emptied: rows that lost lines and have no word left go. All they held
+    stands elsewhere; rows without words from the start stay.
+    """
     c = clean(docs, min_sites)
+    if drop_emptied:
+        c = c.where(F.col("_drop").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("_kept")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_drop").isNull(), docs["n_chars"]).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)
