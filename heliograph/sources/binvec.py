@@ -32,7 +32,7 @@ def unpack(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(indices, vectors) of the records that are present."""
     magic, _, start, length, dim, fmt, *_ = HEADER.unpack_from(content)
     if magic != b"PSBD":
-        raise ValueError("not a PSBD file")
+        raise ValueError("not a vector file")
     if fmt not in _FORMATS:
         raise ValueError(f"format {fmt} is not supported")
     rows = np.frombuffer(content, np.uint8, offset=start)

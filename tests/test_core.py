@@ -12,7 +12,7 @@ from heliograph.graph import components
 from heliograph.operators import evaluate, hierarchy, knn, quantize, retrieval, sets
 from heliograph.operators.som import TreeSom
 from heliograph.plans import expression
-from heliograph.sources import psbd, textfiles
+from heliograph.sources import binvec, textfiles
 from heliograph.streaming import events as E
 
 
@@ -104,10 +104,10 @@ def test_som_separates(spark):
 
 
 def test_binary_vectors(spark, tmp_path):
-    (tmp_path / "colour.psbd").write_bytes(psbd.pack({0: [1, 2], 2: [3, 4]}, 2))
-    assert rows(psbd.read(spark, str(tmp_path)), "feature", "object_idx", "vec") == [("colour", 0, [1.0, 2.0]), ("colour", 2, [3.0, 4.0])]
+    (tmp_path / "colour.bin").write_bytes(binvec.pack({0: [1, 2], 2: [3, 4]}, 2))
+    assert rows(binvec.read(spark, str(tmp_path)), "feature", "object_idx", "vec") == [("colour", 0, [1.0, 2.0]), ("colour", 2, [3.0, 4.0])]
     with pytest.raises(ValueError):
-        psbd.unpack(b"NOPE".ljust(64, b"\0"))
+        binvec.unpack(b"NOPE".ljust(64, b"\0"))
 
 
 def test_text_files(spark, tmp_path):
