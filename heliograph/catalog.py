@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from .functions import text as T
 from .functions import vectors as V
-from .operators import evaluate, hierarchy, knn, quantize, retrieval, sets
+from .operators import boxes, evaluate, hierarchy, knn, models, ontology, quantize, retrieval, sets
 from .operators.som import TreeSom
 from .plans import expression
 from .runtime import table
@@ -642,3 +642,102 @@ def set_operations(spark, d):
     e = table(spark, d, "events")
     of = lambda c: e.where(c).select("user_id")
     return of("event_type = 'view'").intersect(of("event_type = 'click'")).subtract(of("event_type = 'error' and value > 100"))
+
+
+# -- boxes, fusion, ontology, models ------------------------------------------
+
+
+def _boxes(spark, d, kind):
+    """Part orders as boxes: quantity by line number, a key for each order."""
+    li = table(spark, d, "lineitem").where(F.col("l_returnflag") == kind)
+    x, y = F.col("l_quantity"), F.col("l_linenumber").cast("double")
+    return li.select(F.col("l_orderkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.struct(x.alias("x0"), y.alias("y0"), (x + 10).alias("x1"), (y + 2.5).alias("y1")).alias("box")).dropDuplicates(["id"])
+
+
+def _boxes_sql(kind):
+    return f"SELECT l_orderkey AS key, l_orderkey * 10 + l_linenumber AS id, l_quantity AS x0, l_linenumber::DOUBLE AS y0, l_quantity + 10 AS x1, l_linenumber + 2.5::DOUBLE AS y1 FROM lineitem WHERE l_returnflag = '{kind}' AND l_orderkey * 10 + l_linenumber IN (SELECT l_orderkey * 10 + l_linenumber FROM lineitem GROUP BY 1 HAVING count(*) = 1)"
+
+
+@query(f"""WITH a AS ({_boxes_sql("A")}), b AS ({_boxes_sql("N")}),
+j AS (SELECT a.key, a.id, b.id AS other, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS shared FROM a JOIN b USING (key))
+SELECT key, id, max_by(other, (shared, -other)) AS other, round(max(shared), 6) AS shared, round(max(shared) / (50 - max(shared)), 6) AS ratio FROM j WHERE shared > 0 GROUP BY key, id""")
+def box_best_match(spark, d):
+    once = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).count().where("count = 1").select("id")
+    of = lambda k: _boxes(spark, d, k).join(once, "id", "left_semi")
+    return boxes.best_match(of("A"), of("N"), "key").withColumns({"shared": F.round("shared", 6), "ratio": F.round("ratio", 6)})
+
+
+@query("""SELECT event_type, round(avg(least(a, b)), 6) AS lowest, round(avg(greatest(a, b)), 6) AS highest, round(avg((a + b) / 2), 6) AS mean,
+round(avg(CASE WHEN a > 0 AND b > 0 THEN sqrt(a * b) ELSE 0 END), 6) AS geometric, round(avg(CASE WHEN a > 0 AND b > 0 THEN 2 / (1 / a + 1 / b) ELSE 0 END), 6) AS harmonic
+FROM (SELECT event_type, value AS a, (event_id % 100)::DOUBLE AS b FROM events) GROUP BY event_type""")
+def score_fusion(spark, d):
+    e = table(spark, d, "events").select("event_type", F.col("value").alias("a"), (F.col("event_id") % 100).cast("double").alias("b"))
+    names = {"lowest": "min", "highest": "max", "mean": "mean", "geometric": "geometric", "harmonic": "harmonic"}
+    return e.groupBy("event_type").agg(*[F.round(F.avg(boxes.fuse([F.col("a"), F.col("b")], how)), 6).alias(n) for n, how in names.items()])
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smoothed FROM events")
+def time_fusion(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("parent"), F.struct("ts", "event_id").alias("at"), F.col("value").alias("score"))
+    return boxes.smooth(e, 2).select("event_id", F.round("smoothed", 6).alias("smoothed"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT n_name AS f, r_name AS s FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name, 'WORLD' FROM region UNION SELECT 'WORLD', 'ALL'),
+c AS (SELECT f, s FROM e UNION SELECT c.f, e.s FROM c JOIN e ON c.s = e.f) SELECT f AS first, s AS second FROM c""")
+def ontology_closure(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    e = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("first"), F.col("r_name").alias("second"))
+    e = e.unionByName(r.select(F.col("r_name").alias("first"), F.lit("WORLD").alias("second"))).unionByName(spark.range(1).select(F.lit("WORLD").alias("first"), F.lit("ALL").alias("second")))
+    return ontology.closure(e)
+
+
+@query("SELECT l_returnflag AS \"group\", round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(corr(l_quantity, l_extendedprice), 8) AS correlation FROM lineitem GROUP BY 1")
+def least_squares(spark, d):
+    p = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("group"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return models.line_fit(p).select("group", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("correlation", 8).alias("correlation"))
+
+
+@query()
+def principal_components(spark, d):
+    f = _features(spark, d)
+    mean, directions, _ = models.principal_components(f, 4)
+    return models.project(f, mean, directions).select("object_idx", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query()
+def local_subspaces(spark, d):
+    n, f = _neighbours(spark, d, 30)
+    return models.local_subspace(n, f, f.where("object_idx < 10"), f.select("object_idx", "label"), 4)
+
+
+@query("""WITH b AS (SELECT quality AS r, (n_chars // 500)::BIGINT AS bin FROM labels l JOIN documents d ON l.doc_id = d.doc_id), c AS (SELECT bin, sum(r) AS p, sum(1 - r) AS n FROM b GROUP BY bin)
+SELECT bin, round(sum(p) OVER w / sum(p + n) OVER w, 9) AS precision, round(sum(p) OVER w / sum(p) OVER (), 9) AS recall FROM c WINDOW w AS (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)""")
+def pdf_precision(spark, d):
+    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    c = j.groupBy(F.floor(F.col("n_chars") / 500).alias("bin")).agg(F.sum("quality").alias("p"), F.count("*").alias("all"))
+    w = W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)  # one row per bin
+    return c.select("bin", F.round(F.sum("p").over(w) / F.sum("all").over(w), 9).alias("precision"), F.round(F.sum("p").over(w) / F.sum("p").over(W.partitionBy()), 9).alias("recall"))
+
+
+@query("""SELECT event_type, min(k) AS first_hit, round((min(k) - 1 + 1) / (max(n) + 1.0), 9) AS share FROM
+(SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n, user_id FROM events) WHERE user_id % 7 = 0 GROUP BY event_type""")
+def first_hit(spark, d):
+    w = W.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
+    e = table(spark, d, "events").withColumns({"k": F.row_number().over(w), "n": F.count("*").over(W.partitionBy("event_type"))}).where("user_id % 7 = 0")
+    return e.groupBy("event_type").agg(F.min("k").cast("long").alias("first_hit"), F.round(F.min("k") / (F.max("n") + 1.0), 9).alias("share"))
+
+
+@query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER () AS pab, sum(n) OVER (PARTITION BY lang) / sum(n) OVER () AS pa, sum(n) OVER (PARTITION BY source) / sum(n) OVER () AS pb FROM c)
+SELECT round(sum(pab * ln(pab / (pa * pb))), 9) AS mutual_information FROM p""")
+def mutual_information(spark, d):
+    c = table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    every = F.sum("n").over(W.partitionBy())
+    p = c.select((F.col("n") / every).alias("pab"), (F.sum("n").over(W.partitionBy("lang")) / every).alias("pa"), (F.sum("n").over(W.partitionBy("source")) / every).alias("pb"))
+    return p.agg(F.round(F.sum(F.col("pab") * F.log(F.col("pab") / (F.col("pa") * F.col("pb")))), 9).alias("mutual_information"))
+
+
+@query("SELECT conv_id, min(turn)::BIGINT AS first_turn, string_agg(role, '+' ORDER BY turn) AS roles, count(*) AS n FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2) GROUP BY conv_id")
+def conversation_chain(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    lines = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return c.groupBy("conv_id").agg(F.min("turn").cast("long").alias("first_turn"), F.array_join(F.transform(lines, lambda x: x["role"]), "+").alias("roles"), F.count("*").alias("n"))

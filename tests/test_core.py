@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import text as T
 from heliograph.functions import vectors as V
 from heliograph.graph import components
-from heliograph.operators import evaluate, hierarchy, knn, quantize, retrieval, sets
+from heliograph.operators import boxes, evaluate, hierarchy, knn, models, ontology, quantize, retrieval, sets
 from heliograph.operators.som import TreeSom
 from heliograph.plans import expression
 from heliograph.sources import binvec, textfiles
@@ -149,3 +149,35 @@ def test_streaming_twin(spark, tmp_path):
     q = E.tumbling(stream, "5 minutes", "10 minutes").writeStream.format("memory").queryName("tumbled").outputMode("complete").option("checkpointLocation", out).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert rows(spark.table("tumbled"), "start", "n") == rows(E.tumbling(e, "5 minutes"), "start", "n")
+
+
+def test_closure_ends_on_cycles(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "first string, second string")
+    assert rows(ontology.closure(e)) == sorted([(p, q) for p in "abc" for q in "abc"] + [("x", "y")])
+    m = spark.createDataFrame([("x", 1)], "concept string, object_idx long")
+    assert rows(ontology.expand(m, e)) == [("x", 1), ("y", 1)]
+
+
+def test_principal_component_of_a_line(spark):
+    f = spark.createDataFrame([(i, [float(i), 2.0 * i, 1.0]) for i in range(9)], "object_idx long, vec array<double>")
+    mean, d, var = models.principal_components(f, 1)
+    assert mean.tolist() == pytest.approx([4, 8, 1]) and d[0].tolist() == pytest.approx([5**-0.5, 2 * 5**-0.5, 0])
+    assert var[0] == pytest.approx(7.5 * 5)
+    assert models.project(f, mean, d).where("object_idx = 4").first()["vec"][0] == pytest.approx(0)
+
+
+def test_local_subspace(spark):
+    f = spark.createDataFrame([(0, [5.0, 0.1]), (1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [5.0, 3.0]), (4, [6.0, 3.0])], "object_idx long, vec array<double>")
+    n = knn.knn_join(f, f.where("object_idx = 0"), 4)
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1)], "object_idx long, label int")
+    assert rows(models.local_subspace(n, f, f.where("object_idx = 0"), labels, 2)) == [(0, 0)]
+
+
+def test_boxes_and_fusion(spark):
+    b = "key long, id long, box struct<x0 double, y0 double, x1 double, y1 double>"
+    left = spark.createDataFrame([(1, 1, (0.0, 0.0, 2.0, 2.0))], b)
+    right = spark.createDataFrame([(1, 5, (1.0, 1.0, 3.0, 3.0)), (1, 6, (0.0, 0.0, 2.0, 1.0)), (2, 7, (0.0, 0.0, 2.0, 2.0))], b)
+    assert rows(boxes.best_match(left, right, "key")) == [(1, 1, 6, 2.0, 0.5)]
+    s = spark.createDataFrame([(1.0, 4.0, 0.0)], "a double, b double, c double")
+    assert s.select(boxes.fuse([F.col("a"), F.col("b")], "geometric").alias("g")).first()["g"] == pytest.approx(2)
+    assert s.select(boxes.fuse([F.col("a"), F.col("c")], "harmonic").alias("g")).first()["g"] == 0
