@@ -45,7 +45,8 @@ def knn_join(features: DataFrame, queries: DataFrame, k: int, metric: str = "euc
     """features, queries: (object_idx, vec). query_idx, object_idx, rank, distance.
 
     Rows are never shuffled: each batch keeps k rows a query and only those meet
-    in the window. Queries are held by the driver a block at a time. Similarities
+    in the window. The driver holds the ids of the stated queries, and their
+    vectors a block at a time. Similarities
     (histogram_intersection) are negated, so the least is the nearest everywhere.
     """
     spark = features.sparkSession

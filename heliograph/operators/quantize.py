@@ -18,13 +18,24 @@ def histogram(values: DataFrame, low: float, high: float, bins: int) -> DataFram
     return h.withColumn("cumulative", F.sum("n").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
 
 
-def equal_frequency(values: DataFrame, parts: int) -> DataFrame:
-    """value, part: parts of equal numbers; equal values share the part of the first of them."""
+def equal_frequency(values: DataFrame, parts: int, slices: int = 64) -> DataFrame:
+    """value, part: parts of equal numbers; equal values share the part of the first of them.
+
+    Values are cut into slices at approximate quantiles; sums by slice (a few
+    rows) say how many values lie before each, and the running count within a
+    slice is exact, so no task sorts all distinct values.
+    """
     distinct = values.groupBy("value").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(W.partitionBy())
-    d = distinct.withColumn("part", F.floor(before * parts / total).cast("int"))
-    return values.join(d.select("value", "part"), "value")
+    cuts = values.agg(F.percentile_approx("value", [k / slices for k in range(1, slices)], 10_000)).first()[0] or []
+    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col("value"))) if cuts else F.lit(0)
+    distinct = staged(distinct.withColumn("slice", at), "equal-frequency")
+    sums = distinct.groupBy("slice").agg(F.sum("n").alias("in_slice"))
+    ahead = F.coalesce(F.sum("in_slice").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("slice", ahead.alias("ahead"), F.sum("in_slice").over(W.partitionBy()).alias("total"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("slice").orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = distinct.withColumn("inside", inside).join(sums, "slice")
+    d = d.select("value", F.floor((F.col("ahead") + F.col("inside")) * parts / F.col("total")).cast("int").alias("part"))
+    return values.join(d, "value")
 
 
 def entropy(symbols: DataFrame, base: float = 2.0) -> DataFrame:
