@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ..graph import components
 from ..runtime import staged, table
+from .resemblance import keep_one, node
 from .text import columns
 
 SEED = 42
@@ -67,16 +68,17 @@ def fingerprint(text: bytes, size: int) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, size: int = 3, named: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the node that names the text if `named`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(1).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", size) for t in col), np.uint64, len(col))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", "node"][: batch.num_columns])
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
+    d = columns(docs, doc_id="long", text="string")
+    return (d.withColumn("node", node()) if named else d).mapInArrow(run, "doc_id long, fp long" + ", node long" * named)
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -217,26 +219,24 @@ def _hot_links(fps: DataFrame, parts: list[tuple[list[int], int]], full: DataFra
     return q.join(hub, ["part", "key", "point"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
 
 
-def groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    d = staged(fingerprints(docs, size), "simhash-fingerprints")
+def _grouped(d: DataFrame, distance: int, hot: int) -> DataFrame:
+    """The rows of fingerprints with root and component_id."""
     fps = staged(d.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     comp = components(links(fps.select("fp"), distance, hot))
     rooted = staged(fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return d.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return d.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
+
+
+def groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """doc_id, fp, component_id of every row."""
+    return _grouped(staged(fingerprints(docs, size), "simhash-fingerprints"), distance, hot).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, size: int = 3, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """The rows of docs that stay: of every group the one with the least id."""
-    g = staged(groups(docs, size, distance, hot), "simhash-groups")
-    stays = g.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    stays = staged(stays.select(F.col("doc_id").alias("_stays"), "n"), "simhash-stays")
-    kept = docs.join(stays.select("_stays").hint("merge"), docs["doc_id"].cast("long") == F.col("_stays"), "left_semi")
-    # Rows that share an id can't be told apart by it; only if there are any must texts move.
-    if not stays.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """The rows of docs that stay: one of every group, the least id's (null last); texts that share an id are decided each."""
+    d = staged(fingerprints(docs, size, named=True), "simhash-fingerprints")
+    return keep_one(docs, staged(_grouped(d, distance, hot).select("doc_id", "node", "root"), "simhash-groups"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

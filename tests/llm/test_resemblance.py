@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from heliograph.llm import resemblance
+from heliograph.llm import resemblance, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -43,3 +43,13 @@ def test_all_similar_pairs(spark, monkeypatch, common):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(root))
+
+
+@pytest.mark.parametrize("dedup", [simhash.near_dedup, resemblance.near_dedup])
+def test_surviving_rows_of_odd_ids(spark, dedup):
+    r = random.Random(8)
+    w = [f"word{i}" for i in range(4000)]
+    a, b, c, d, e = (" ".join(r.choice(w) for _ in range(80)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (1, b), (2, c), (2, d), (3, e), (4, "x " + d), (4, e), (5, "y " + c)]
+    near = [(2, c), (2, d), (1, b), (3, e), (None, a)]
+    assert sorted(map(repr, (tuple(x) for x in dedup(spark.createDataFrame(rows, SCHEMA)).collect()))) == sorted(map(repr, near))
