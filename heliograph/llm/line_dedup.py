@@ -12,8 +12,9 @@ of a line, which merge in a plain hash aggregation, tell the others apart.
 
 Defined results: null and empty texts stay as they are; lines without a word
 are never removed; a null source is no site; rows that share a doc_id share
-their occurrences, so a line kept in one is kept in all of them; a table without
-rows gives none. Columns other than text (and n_chars, where a text changes)
+their occurrences, so a line kept in one is kept in all of them; null ids come
+last and count as one id, so a line stays in them only if no other document has
+it, at its least place; a table without rows gives none. Columns other than text (and n_chars, where a text changes)
 come through untouched, whatever their names.
 """
 
@@ -39,9 +40,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h1, h2, first (doc_id, at): the lines on min_sites sites or more."""
+    """h1, h2, first (no id, doc_id, at): the lines on min_sites sites or more."""
     lines = _lines(docs)
-    seen = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("source").alias("a"), F.max("source").alias("b"), F.min(F.struct("doc_id", "at")).alias("first"))
+    seen = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("source").alias("a"), F.max("source").alias("b"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "at")).alias("first"))
     spread = (F.col("a") != F.col("b")) if min_sites > 1 else F.col("a").isNotNull()
     seen = staged(seen.where((F.col("n") >= min_sites) & spread).select("h1", "h2", "first"), "lines-seen")
     # Distinct before the join: a line of a third of all documents is a few rows by then.
@@ -59,7 +60,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def decisions(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, drop (places of lines to remove, in order): one row per document that loses a line."""
     lines, flagged = _lines(docs), boilerplate(docs, min_sites)
-    hit = lines.join(flagged.hint("merge"), ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
+    hit = lines.join(flagged.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
     return hit.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "h1"))).alias("drop"))
 
 
@@ -71,7 +72,7 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     documents, and their ids are distinct, so it has no skew.
     """
     d = staged(decisions(docs, min_sites), "lines-drop").select(F.col("doc_id").alias("_drop_id"), F.col("drop").alias("_drop"))
-    out = docs.join(d.hint("merge"), docs["doc_id"].cast("long") == d["_drop_id"], "left")
+    out = docs.join(d.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(d["_drop_id"]), "left")
     split = F.split("text", "\n")
     goes = lambda x, i: F.array_contains("_drop", F.struct(i.alias("at"), F.xxhash64(x).alias("h1")))
     kept = F.filter(split, lambda x, i: ~goes(x, i))
