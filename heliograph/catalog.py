@@ -48,7 +48,11 @@ _PAIR = {
 }
 
 
-def _knn_sql(metric: str, k: int) -> str:
+#: The queries of a search grow with the table. The ten first rows are what the first SQL of these queries names.
+EVERY, FIRST = "% 100 = 0", "< 10"
+
+
+def _knn_sql(metric: str, k: int, which: str = FIRST) -> str:
     v = "list_transform(embedding, lambda x: x::DOUBLE)"
     if metric in ("chisquare", "histogram_intersection"):
         v = "list_transform(embedding, lambda x: abs(x::DOUBLE))"
@@ -56,22 +60,23 @@ def _knn_sql(metric: str, k: int) -> str:
     WITH o AS (SELECT vec_id AS id, {v} AS v FROM embeddings),
     d AS (SELECT q.id AS query_idx, o.id AS object_idx, round(round({_PAIR[metric]}, 9), 6) AS distance,
                  row_number() OVER (PARTITION BY q.id ORDER BY round({_PAIR[metric]}, 9), o.id)::INT AS rank
-          FROM o q JOIN o ON q.id <> o.id WHERE q.id < 10)
+          FROM o q JOIN o ON q.id <> o.id WHERE q.id {which})
     SELECT query_idx, object_idx, rank, distance FROM d WHERE rank <= {k}"""
 
 
-def _knn(metric: str, k: int):
+def _knn(metric: str, k: int, which: str = FIRST):
     def run(spark: SparkSession, d: str) -> DataFrame:
         f = _features(spark, d).select("object_idx", "vec")
         if metric in ("chisquare", "histogram_intersection"):
             f = f.withColumn("vec", F.transform(F.col("vec").cast("array<double>"), lambda x: F.abs(x)))
-        return knn.knn_join(f, f.where("object_idx < 10"), k, metric).withColumn("distance", F.round("distance", 6))
+        return knn.knn_join(f, f.where(f"object_idx {which}"), k, metric).withColumn("distance", F.round("distance", 6))
 
     return run
 
 
 for _m in _PAIR:
     query(_knn_sql(_m, 5), f"knn_{_m}")(_knn(_m, 5))
+    query(_knn_sql(_m, 5, EVERY), f"knn_{_m}_every")(_knn(_m, 5, EVERY))
 
 
 def _distance(name: str):
@@ -86,32 +91,44 @@ _KULLBACK = "pow(list_sum(list_transform(embedding, lambda x: CASE WHEN x <> 0 T
 query(f"SELECT vec_id AS object_idx, round({_KULLBACK}, 6) AS distance FROM embeddings", "distance_kullback")(_distance("kullback"))
 query("SELECT vec_id AS object_idx, round(list_sum(list_transform(embedding, lambda x: (abs(x::DOUBLE) - 0.125) * (abs(x::DOUBLE) - 0.125))), 6) AS distance FROM embeddings", "distance_euclidean")(_distance("euclidean"))
 
-_VOTE_SQL = f"""
-WITH n AS ({_knn_sql("euclidean", 7)}),
+_VOTE_SQL, _VOTE_EVERY_SQL = (f"""
+WITH n AS ({_knn_sql("euclidean", 7, which)}),
 l AS (SELECT n.query_idx, n.rank, e.label FROM n JOIN embeddings e ON e.vec_id = n.object_idx),
 u AS (SELECT query_idx, k, label, count(*) AS votes FROM l, range(1, 8) r(k) WHERE rank <= k GROUP BY ALL),
 b AS (SELECT *, max(votes) OVER (PARTITION BY query_idx, k) AS best FROM u),
 w AS (SELECT *, count(*) OVER (PARTITION BY query_idx, k) AS winners FROM b WHERE votes = best)
-SELECT query_idx, %s AS label, max_by(votes, k) AS votes FROM w WHERE winners = 1 GROUP BY query_idx"""
+SELECT query_idx, {{label}} AS label, max_by(votes, k) AS votes FROM w WHERE winners = 1 GROUP BY query_idx""" for which in (FIRST, EVERY))
 
 
-def _neighbours(spark, d, k=7):
+def _neighbours(spark, d, k=7, which=FIRST):
     f = _features(spark, d)
-    return knn.knn_join(f, f.where("object_idx < 10"), k), f
+    return knn.knn_join(f, f.where(f"object_idx {which}"), k), f
 
 
-@query(_VOTE_SQL % "max_by(label, k)")
+@query(_VOTE_SQL.replace("{label}", "max_by(label, k)"))
 def knn_vote(spark, d):
     n, f = _neighbours(spark, d)
     return knn.vote(n, f)
 
 
-@query(_VOTE_SQL % "CASE WHEN max_by(votes, k) >= 3 THEN max_by(label, k) END")
+@query(_VOTE_SQL.replace("{label}", "CASE WHEN max_by(votes, k) >= 3 THEN max_by(label, k) END"))
 def knn_reject(spark, d):
     n, f = _neighbours(spark, d)
     return knn.vote(n, f, reject=3)
 
 
+@query(_VOTE_EVERY_SQL.replace("{label}", "max_by(label, k)"))
+def knn_vote_every(spark, d):
+    n, f = _neighbours(spark, d, which=EVERY)
+    return knn.vote(n, f)
+
+
+@query(_VOTE_EVERY_SQL.replace("{label}", "CASE WHEN max_by(votes, k) >= 3 THEN max_by(label, k) END"))
+def knn_reject_every(spark, d):
+    n, f = _neighbours(spark, d, which=EVERY)
+    return knn.vote(n, f, reject=3)
+
+
 # -- vectors ------------------------------------------------------------------
 
 _MEANS_SQL = "SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i"
@@ -706,8 +723,8 @@ def principal_components(spark, d):
 
 @query()
 def local_subspaces(spark, d):
-    n, f = _neighbours(spark, d, 30)
-    return models.local_subspace(n, f, f.where("object_idx < 10"), f.select("object_idx", "label"), 4)
+    n, f = _neighbours(spark, d, 30, EVERY)
+    return models.local_subspace(n, f, f.where(f"object_idx {EVERY}"), f.select("object_idx", "label"), 4)
 
 
 @query("""WITH b AS (SELECT quality AS r, (n_chars // 500)::BIGINT AS bin FROM labels l JOIN documents d ON l.doc_id = d.doc_id), c AS (SELECT bin, sum(r) AS p, sum(1 - r) AS n FROM b GROUP BY bin)
