@@ -525,6 +525,26 @@ def bleu_unigrams(spark, d):
     return p.select("candidate", F.round(F.col("clipped") / F.col("total") * brevity, 9).alias("bleu"))
 
 
+@query("""WITH i AS (SELECT item_id, text, lead(item_id, 1, (SELECT min(item_id) FROM benchmark)) OVER (ORDER BY item_id) AS reference FROM benchmark),
+w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark),
+c AS (SELECT item_id, t, count(*) AS n FROM w GROUP BY ALL), p AS (SELECT a.item_id AS candidate, i.reference, sum(least(a.n, coalesce(b.n, 0))) AS clipped, sum(a.n) AS total FROM c a JOIN i ON i.item_id = a.item_id LEFT JOIN c b ON b.t = a.t AND b.item_id = i.reference GROUP BY 1, 2),
+l AS (SELECT item_id, sum(n) AS len FROM c GROUP BY 1)
+SELECT candidate, round(clipped / total * CASE WHEN total > r.len THEN 1 ELSE exp(1 - r.len / total) END, 9) AS bleu FROM p JOIN l r ON r.item_id = p.reference""")
+def bleu_unigrams_every(spark, d):
+    """Every item against the next one by id, the last against the first."""
+    b = table(spark, d, "benchmark")
+    ids = b.select("item_id")
+    least = ids.agg(F.min("item_id").alias("least"))
+    # One row an item in one window: ids only, no text.
+    after = ids.withColumn("next", F.lead("item_id").over(W.orderBy("item_id"))).crossJoin(F.broadcast(least)).select("item_id", F.coalesce("next", "least").alias("reference"))
+    c = b.select("item_id", F.explode(T.terms(F.col("text"))).alias("t")).groupBy("item_id", "t").agg(F.count("*").alias("n"))
+    length = c.groupBy(F.col("item_id").alias("reference")).agg(F.sum("n").alias("len"))
+    ref = c.select(F.col("item_id").alias("reference"), "t", F.col("n").alias("rn"))
+    p = c.join(after, "item_id").join(ref, ["reference", "t"], "left").groupBy(F.col("item_id").alias("candidate"), "reference").agg(F.sum(F.least("n", F.coalesce("rn", F.lit(0)))).alias("clipped"), F.sum("n").alias("total")).join(length, "reference")
+    brevity = F.when(F.col("total") > F.col("len"), 1.0).otherwise(F.exp(1 - F.col("len") / F.col("total")))
+    return p.select("candidate", F.round(F.col("clipped") / F.col("total") * brevity, 9).alias("bleu"))
+
+
 @query("""WITH n AS (SELECT DISTINCT p_type FROM part), d AS (SELECT p.p_partkey, n.p_type, levenshtein(p.p_name, n.p_type) AS distance FROM part p, n)
 SELECT p_partkey, min(distance)::INT AS distance, min_by(p_type, (distance, p_type)) AS closest FROM d GROUP BY p_partkey""")
 def closest_word(spark, d):

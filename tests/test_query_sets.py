@@ -19,3 +19,10 @@ def sf(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["local_subspaces", "knn_euclidean_every", "knn_vote_every"])
 def test_searches(spark, sf, name):
     assert {r["query_idx"] for r in catalog.QUERIES[name](spark, sf).collect()} == {0, 100, 200, 300}
+
+
+def test_bleu(spark, sf):
+    got = {r["candidate"]: r["bleu"] for r in catalog.QUERIES["bleu_unigrams_every"](spark, sf).collect()}
+    assert set(got) == set(range(90))
+    # item 89 is "green blue blue", its reference item 0 "red green blue"
+    assert got[89] == pytest.approx(2 / 3 * 2.718281828459045**0, abs=1e-9)
