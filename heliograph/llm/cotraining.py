@@ -2,21 +2,22 @@
 
 Two views of a document: its content (hashed words, shapes of words and how they
 repeat) and its page's metadata (source, language, length). A logistic model of
-each is fitted on labelled rows; in every round each model labels the unlabelled
-rows that it is surest of, as many of either class as in the labels' proportion,
-for the other model to learn from. At the end each view is calibrated on labelled
-rows that neither has learned from, and a logistic of both calibrated views
-scores every document.
-
-Bounds: about LABELLED labelled and POOL unlabelled rows, drawn whole by a hash
-of the id; counts that set the rates cover all rows. Models are two vectors of
+each is fitted on labelled rows. In every round both models score all unlabelled
+rows of the training folds; of those that a view is sure of, a draw, as many of
+either class as in the labels' proportion, is what the other view learns besides
+its labels. At the end each view is calibrated on labelled rows that neither has
+learned from, and a logistic of both calibrated views scores every document.
+
+Bounds: about LABELLED labelled rows, drawn whole by a hash of the id, and
+EXCHANGED pseudo-labels a view and round, drawn from all rows that the view is
+sure of; counts that set the rates cover all rows. Models are two vectors of
 DIMENSIONS weights.
 
 Defined results: a null or empty text has no content features, missing metadata
-is a value of its own; labels that are null or conflict are not learned from;
-without labels of both classes the score is the share of good ones (1 without
-any, so nothing is dropped). Repeated rows repeat. Only doc_id, text, source,
-lang and n_chars are read.
+is a value of its own; labels that are null or conflict are not learned from,
+nor are rows without an id; without labels of both classes the score is the
+share of good ones (1 without any, so nothing is dropped). Repeated rows repeat.
+Only doc_id, text, source, lang and n_chars are read.
 """
 
 from __future__ import annotations
@@ -37,10 +38,8 @@ from .text import columns, fold
 
 DIMENSIONS = 1 << 13
 LABELLED = 2000
-POOL = 3000
-ROUNDS = 4
-#: Share of the pool that a view labels in a round, if it is sure enough.
-SHARE = 0.08
+EXCHANGED = 480
+ROUNDS = 2
 SURE = 0.9
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+")
@@ -124,37 +123,28 @@ def logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Views:
     """Both views' weights, their calibrations and the combination."""
 
-    def __init__(self, rows: list[tuple], rounds: int = ROUNDS):
-        """rows: (content, metadata, label or None, learn)."""
-        learn = [r for r in rows if r[2] is not None and r[3]]
-        held = [r for r in rows if r[2] is not None and not r[3]] or learn
-        pool = [r for r in rows if r[2] is None]
-        y = np.array([r[2] for r in learn], float)
-        own = [Sparse([r[v] for r in learn + pool]) for v in (0, 1)]
-        good = min(0.99, max(0.01, y.mean()))
-        # taught[v]: what view v learns from: the labels, then what the other view was sure of.
-        taught = [np.concatenate([y, np.full(len(pool), np.nan)]) for _ in (0, 1)]
+    def __init__(self, rows: list[tuple]):
+        """rows: (content, metadata, label, learn), labelled; those not to learn from calibrate."""
+        self.rows = [r for r in rows if r[3]]
+        self.held = [r for r in rows if not r[3]] or self.rows
         self.w: list[np.ndarray] = [None, None]  # type: ignore[list-item]
-        self.exchanged = 0
-        for k in range(rounds + 1):
-            for v in (0, 1):
-                have = ~np.isnan(taught[v])
-                self.w[v] = fit(own[v], np.where(have, taught[v], 0), have.astype(float), self.w[v], 80 if k == 0 else 30)
-            if k == rounds or not pool:
-                break
-            for v in (0, 1):
-                p = _sigmoid(own[v].dot(self.w[v][:-1]) + self.w[v][-1])
-                p[~np.isnan(taught[1 - v])] = np.nan
-                most = SHARE * len(pool)
-                for label, sure, n in ((1.0, p, most * good), (0.0, 1 - p, most * (1 - good))):
-                    order = np.argsort(-np.nan_to_num(sure, nan=-1), kind="stable")[: math.ceil(n)]
-                    order = order[np.nan_to_num(sure[order], nan=-1) >= SURE]
-                    taught[1 - v][order] = label
-                    self.exchanged += len(order)
-        truth = np.array([r[2] for r in held], float)
-        raw = self.raw([r[0] for r in held], [r[1] for r in held])
+        #: What each view was taught by the other: id to (content, metadata, label).
+        self.taught: list[dict[int, tuple]] = [{}, {}]
+        self.fit(80)
+
+    def fit(self, steps: int = 30) -> None:
+        for v in (0, 1):
+            rows = [*self.rows, *self.taught[v].values()]
+            y = np.array([r[2] for r in rows], float)
+            self.w[v] = fit(Sparse([r[v] for r in rows]), y, np.ones(len(y)), self.w[v], steps)
+
+    def finish(self) -> None:
+        """Calibrates the views on the rows held back, and combines them."""
+        truth = np.array([r[2] for r in self.held], float)
+        raw = self.raw([r[0] for r in self.held], [r[1] for r in self.held])
         self.calibrated = [logistic(raw[:, [v]], truth) for v in (0, 1)]
         self.both = logistic(self.calibrate(raw), truth)
+        self.rows, self.held, self.taught = [], [], [{}, {}]  # what scores needs weights alone
 
     def raw(self, a: list, b: list) -> np.ndarray:
         return np.column_stack([np.clip(Sparse(x).dot(w[:-1]) + w[-1], -20, 20) for x, w in zip((a, b), self.w)])
@@ -171,37 +161,86 @@ def _documents(docs: DataFrame) -> DataFrame:
     return columns(docs, doc_id="long", text="string", source="string", lang="string", n_chars="long")
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Views | float:
-    d = _documents(docs).where(fold(F.col("doc_id"), folds) != 0)
-    marked = columns(labels, doc_id="long", quality="int").dropna().groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2 and y in (0, 1)").drop("y2")
-    ids = staged(d.select("doc_id").distinct().join(marked, "doc_id", "left"), "cotraining-ids")
-    sizes = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n = {y: sizes.get(y, 0) for y in (0, 1, None)}
-    if not n[0] or not n[1]:
-        return 0.0 if n[0] else 1.0
-    # Rare bad rows are drawn at up to three times their share.
-    rate = {0: min(1.0, max(LABELLED / (n[0] + n[1]), min(LABELLED / 3, 3 * LABELLED * n[0] / (n[0] + n[1])) / n[0])), 1: min(1.0, LABELLED / (n[0] + n[1])), None: min(1.0, POOL / max(1, n[None]))}
-    chance = F.when(F.col("y") == 0, rate[0]).when(F.col("y") == 1, rate[1]).otherwise(rate[None])
-    drawn = ids.where(F.pmod(F.xxhash64("doc_id", F.lit("co")), F.lit(1_000_003)) < chance * 1_000_003)
+def _features(r: dict) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    return content(r["text"]), metadata(r["source"], r["lang"], r["n_chars"])
+
+
+def _drawn(d: DataFrame, chosen: DataFrame) -> list[tuple]:
+    """(doc_id, what chosen says of it, content, metadata) of the rows of d that chosen (doc_id, what) names.
+
+    Draws are of bounded size by their rates, so their ids are broadcast to the texts.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            a, m = [content(r["text"]) for r in rows], [metadata(r["source"], r["lang"], r["n_chars"]) for r in rows]
-            cols = [pa.array([x.tolist() for x, _ in a], pa.list_(pa.int32())), pa.array([x.tolist() for _, x in a], pa.list_(pa.float32())), pa.array([x.tolist() for x, _ in m], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *cols], ["doc_id", "y", "i", "v", "m"])
+            got = [_features(r) for r in b.to_pylist()]
+            cols = [pa.array([x.tolist() for (x, _), _ in got], pa.list_(pa.int32())), pa.array([x.tolist() for (_, x), _ in got], pa.list_(pa.float32())), pa.array([x.tolist() for _, (x, _) in got], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("what"), *cols], ["doc_id", "what", "i", "v", "m"])
 
-    # The draw is of bounded size by its rates, so its ids are broadcast to the texts.
-    got = d.join(F.broadcast(drawn), "doc_id").mapInArrow(features, "doc_id long, y int, i array<int>, v array<float>, m array<int>").orderBy("doc_id", "i", "m").toArrow()
+    got = d.join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, what int, i array<int>, v array<float>, m array<int>").orderBy("doc_id", "what", "i", "m").toArrow()
     rows = []
     for b in got.to_batches():
         for r in range(b.num_rows):
             i, v, m = (b.column(c)[r].values.to_numpy() for c in ("i", "v", "m"))
-            doc = b.column("doc_id")[r].as_py()
-            rows.append(((i, v), (m, np.full(len(m), 0.5, np.float32)), b.column("y")[r].as_py(), zlib.crc32(f"learn {doc}".encode()) % 4 != 0))
-    if len({r[2] for r in rows if r[2] is not None and r[3]}) < 2:
-        return n[1] / (n[0] + n[1])
-    return Views(rows)
+            rows.append((b.column("doc_id")[r].as_py(), b.column("what")[r].as_py(), (i, v), (m, np.full(len(m), 0.5, np.float32))))
+    return rows
+
+
+def _hash(seed: str):
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+
+
+def exchange(views: Views, unlabelled: DataFrame, good: float, seed: str, exchanged: int = EXCHANGED) -> int:
+    """One round: each view's surest rows of the whole table become the other's labels. How many it was."""
+    sent = unlabelled.sparkSession.sparkContext.broadcast(views.w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                b = batch.slice(k, 500)
+                got = [_features(r) for r in b.to_pylist()]
+                p = [_sigmoid(Sparse([g[v] for g in got]).dot(w[v][:-1]) + w[v][-1]) for v in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p[0]), pa.array(p[1])], ["doc_id", "p0", "p1"])
+
+    scored = staged(unlabelled.mapInArrow(run, "doc_id long, p0 double, p1 double"), "cotraining-round")
+    # what = 2 * view + label, for the rows that a view is sure of
+    sure = scored.select("doc_id", F.explode(F.array(*[F.when(F.col(f"p{v}") >= SURE, 2 * v + 1).when(F.col(f"p{v}") <= 1 - SURE, 2 * v) for v in (0, 1)])).alias("what")).where("what is not null")
+    sizes = {r["what"]: r["n"] for r in sure.groupBy("what").agg(F.count("*").alias("n")).collect()}
+    rate = F.lit(0.0)
+    for what, n in sizes.items():
+        rate = F.when(F.col("what") == what, min(1.0, exchanged * (good if what % 2 else 1 - good) / n)).otherwise(rate)
+    chosen = sure.where(_hash(seed) < rate).distinct()
+    n = 0
+    for doc, what, a, m in _drawn(unlabelled, chosen):
+        view, label = divmod(what, 2)
+        n += doc not in views.taught[1 - view]
+        views.taught[1 - view][doc] = (a, m, label)
+    views.fit()
+    return n
+
+
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, rounds: int = ROUNDS) -> Views | float:
+    d = _documents(docs).where((fold(F.col("doc_id"), folds) != 0) & F.col("doc_id").isNotNull())
+    marked = columns(labels, doc_id="long", quality="int").dropna().groupBy("doc_id").agg(F.min("quality").alias("what"), F.max("quality").alias("y2")).where("what = y2 and what in (0, 1)").drop("y2")
+    ids = staged(d.select("doc_id").distinct().join(marked, "doc_id"), "cotraining-ids")
+    sizes = {r["what"]: r["n"] for r in ids.groupBy("what").agg(F.count("*").alias("n")).collect()}
+    bad, fine = sizes.get(0, 0), sizes.get(1, 0)
+    if not bad or not fine:
+        return 0.0 if bad else 1.0
+    # Rare bad rows are drawn at up to three times their share.
+    rate = {0: min(1.0, max(LABELLED / (bad + fine), min(LABELLED / 3, 3 * LABELLED * bad / (bad + fine)) / bad)), 1: min(1.0, LABELLED / (bad + fine))}
+    rows = _drawn(d, ids.where(_hash("co") < F.when(F.col("what") == 0, rate[0]).otherwise(rate[1])))
+    rows = [(a, m, y, zlib.crc32(f"learn {doc}".encode()) % 4 != 0) for doc, y, a, m in rows]
+    if len({r[2] for r in rows if r[3]}) < 2:
+        return fine / (bad + fine)
+    views = Views(rows)
+    unlabelled = d.join(marked.select("doc_id"), "doc_id", "left_anti")
+    good = min(0.99, max(0.01, sum(r[2] for r in views.rows) / len(views.rows)))
+    for k in range(rounds):
+        exchange(views, unlabelled, good, f"round {k}")
+    views.finish()
+    return views
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -216,8 +255,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
                 if isinstance(views, float):
                     s = np.full(b.num_rows, views)
                 else:
-                    rows = b.to_pylist()
-                    s = views.score([content(r["text"]) for r in rows], [metadata(r["source"], r["lang"], r["n_chars"]) for r in rows])
+                    s = views.score(*zip(*map(_features, b.to_pylist())))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s)], ["doc_id", "held_out", "score"])
 
     d = _documents(docs).withColumn("held_out", fold(F.col("doc_id"), folds) == 0)

@@ -6,19 +6,19 @@ a document's probabilities are the means over its positions, those of letters
 (all bytes from 128 on count as letters) if it has any. The network is trained in
 numpy by backpropagation through time, with Adam.
 
-Bounds: it is fitted on WINDOWS_A_DOC windows of about DOCS_A_LANGUAGE labelled
-documents per language, drawn by a hash of their id; counts by language cover
-all labelled rows. What is broadcast is a few thousand weights.
+Bounds: it is fitted on whole labelled documents of about TRAIN_BYTES per
+language, drawn by a hash of their id; every window of a drawn document can be
+met, as each step draws documents and then one window of each. Sizes by language
+cover all labelled rows. What is broadcast is a few thousand weights.
 
-Defined results: `und` with score 0 where a text is null or has no letter, and
-everywhere if nothing is labelled; a single learned language gets score 1; rows
+Defined results: `und` with score 0 where a text is null or has no letter (a
+character of Unicode category L), and everywhere if nothing is labelled; a single learned language gets score 1; rows
 whose language is null teach nothing; repeated rows repeat. Only doc_id, text
 and lang are read, lang for training alone.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +31,11 @@ from .text import columns, fold, whole
 
 WINDOW = 64
 HIDDEN = 8
-DOCS_A_LANGUAGE = 800
-WINDOWS_A_DOC = 4
+TRAIN_BYTES = 1_600_000
 STEPS = 240
 BATCH = 256
 BLOCK = 1024
 RATE = 0.02
-_LETTER = re.compile(r"[^\W\d_]")
 _WEIGHT = np.array([0, *[1.0 if chr(b).isalpha() or b >= 128 else 1e-6 for b in range(1, 256)]], np.float32)
 
 
@@ -130,13 +128,17 @@ class Network:
             g["e"][k][used] = np.add.reduceat(flat[order], first)
         return g
 
-    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 7) -> None:
+    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = STEPS, seed: int = 7) -> None:
+        """y: the number of each text's label."""
+        x, n = _windows(texts)
+        mask, first = (x > 0).astype(np.float32), np.cumsum(n) - n
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(w) for k, w in self.w.items()}
         v = {k: np.zeros_like(w) for k, w in self.w.items()}
         for step in range(1, steps + 1):
-            rows = r.integers(0, len(x), min(BATCH, len(x)))
-            for k, g in self.gradients(x[rows], mask[rows], y[rows]).items():
+            docs = r.integers(0, len(n), min(BATCH, len(x)))
+            rows = first[docs] + (r.random(len(docs)) * n[docs]).astype(np.int64)
+            for k, g in self.gradients(x[rows], mask[rows], y[docs]).items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.98 * v[k] + 0.02 * g * g
                 pace = RATE * (1 - 0.9 * step / steps)
@@ -145,9 +147,8 @@ class Network:
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """The mean probabilities of each text, over the whole of it."""
         c = len(self.labels)
-        n = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
+        x, n = _windows(texts)
         owner = np.repeat(np.arange(len(texts)), n)
-        x = np.frombuffer(b"".join(t.ljust(k * WINDOW, b"\0") for t, k in zip(texts, n.tolist())), np.uint8).reshape(-1, WINDOW)
         sums = np.zeros((len(texts), c))
         for k in range(0, len(x), BLOCK):
             part = np.ascontiguousarray(x[k : k + BLOCK].T)
@@ -160,14 +161,20 @@ class Network:
         return sums / np.maximum(sums.sum(1, keepdims=True), 1e-30)
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(b"".join(t[:WINDOW].ljust(WINDOW, b"\0") for t in texts), np.uint8).reshape(-1, WINDOW)
-    return x, (x > 0).astype(np.float32)
+    """All windows of the texts, one after the other, and how many each text has."""
+    n = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
+    return np.frombuffer(b"".join(t.ljust(k * WINDOW, b"\0") for t, k in zip(texts, n.tolist())), np.uint8).reshape(-1, WINDOW), n
 
 
-def learn(labelled: DataFrame, per_language: int = DOCS_A_LANGUAGE) -> Network | None:
+def learn(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> Network | None:
     """labelled: doc_id, text, lang, without null languages."""
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = labelled.withColumn("bytes", F.octet_length("text"))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum("bytes").alias("n")).collect()}
     if not sizes:
         return None
     labels = sorted(sizes)
@@ -176,14 +183,11 @@ def learn(labelled: DataFrame, per_language: int = DOCS_A_LANGUAGE) -> Network |
         return net
     rate = F.lit(0.0)
     for k, n in sizes.items():
-        rate = F.when(F.col("lang") == k, min(1.0, per_language / n)).otherwise(rate)
-    at = lambda k: 1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1)))
-    parts = F.array(*[F.substring(F.col("text"), at(k).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_A_DOC)])
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_003)) < rate * 1_000_003)
-    got = drawn.select("doc_id", "lang", F.explode(parts).alias("t")).orderBy("doc_id", "t", "lang").collect()
+        rate = F.when(F.col("lang") == k, min(1.0, train_bytes / max(1, n))).otherwise(rate)
+    drawn = labelled.where("bytes > 0").where(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_003)) < rate * 1_000_003)
+    got = drawn.select("doc_id", "lang", "text").orderBy("doc_id", "text", "lang").collect()
     if got:
-        x, mask = _windows([r["t"].encode().lower() for r in got])
-        net.fit(x, mask, np.array([labels.index(r["lang"]) for r in got]))
+        net.fit([r["text"].encode().lower() for r in got], np.array([labels.index(r["lang"]) for r in got]))
     return net
 
 
@@ -200,7 +204,7 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
             while k < batch.num_rows:
                 part = batch.column(2).slice(k, 256).to_pylist()
                 k += 256
-                known = [bool(t and net and _LETTER.search(t)) for t in part]
+                known = [bool(t and net and has_letter(t)) for t in part]
                 p = net.documents([t.encode().lower() for t, y in zip(part, known) if y]) if any(known) else np.zeros((0, 1))
                 best = iter(zip(p.argmax(1).tolist(), p.max(1).tolist()))
                 for y in known:

@@ -1,21 +1,21 @@
 """Line dedup by distinct-site spread. DataFrame functions only.
 
-A line is boilerplate if it stands on `min_sites` sites (sources) or more. Per
-line hash, a HyperLogLog sketch of the sites is built map-side and merged by
-the aggregation, so a line in a third of all documents costs one sketch a task.
-Lines whose estimate lies near the threshold are counted exactly; far from it
-the estimate decides. A boilerplate line stays where it stands first (least
-doc_id, then place) and goes everywhere else.
-
-Only lines seen on two sites at least are sketched: the least and greatest site
-of a line, which merge in a plain hash aggregation, tell the others apart.
+A line is boilerplate if it stands on `min_sites` sites (sources) or more. One
+aggregation of the raw lines gives each line hash a HyperLogLog sketch of its
+sites and its first place; partial sketches merge by the aggregation, so a line
+in a third of all documents costs one sketch a task. Only lines whose estimate
+reaches the threshold, or lies near it, meet the lines again; of these, the ones
+near it have their distinct sites counted exactly, and for the others the
+estimate decides. A boilerplate line stays where it stands first (least doc_id,
+then place) and goes everywhere else.
 
 Defined results: null and empty texts stay as they are; lines without a word
 are never removed; a null source is no site; rows that share a doc_id share
 their occurrences, so a line kept in one is kept in all of them; null ids come
 last and count as one id, so a line stays in them only if no other document has
-it, at its least place; a table without rows gives none. Columns other than text (and n_chars, where a text changes)
-come through untouched, whatever their names.
+it, at its least place; a table without rows gives none; a table without a
+source has no sites, so nothing goes. Columns other than text (and n_chars,
+where a text changes) come through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import staged, table
-from .text import columns
+from .text import columns, fresh, own, value
 
 MIN_SITES = 3
 #: Sketches of 2**LG_K registers have a relative error of 1.04 / sqrt(2**LG_K); BAND is over 6 times that.
@@ -39,45 +39,41 @@ def _lines(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "source", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h1, h2, first (no id, doc_id, at): the lines on min_sites sites or more."""
-    lines = _lines(docs)
-    seen = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("source").alias("a"), F.max("source").alias("b"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "at")).alias("first"))
-    spread = (F.col("a") != F.col("b")) if min_sites > 1 else F.col("a").isNotNull()
-    seen = staged(seen.where((F.col("n") >= min_sites) & spread).select("h1", "h2", "first"), "lines-seen")
-    # Distinct before the join: a line of a third of all documents is a few rows by then.
-    sites = lines.where("source is not null").select("h1", "h2", "source").distinct()
-    sites = staged(sites.join(seen.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_semi"), "lines-sites")
-    sketched = sites.groupBy("h1", "h2").agg(F.hll_sketch_agg("source", F.lit(LG_K)).alias("sketch"))
-    guess = sketched.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("guess"))
-    near = F.abs(F.col("guess") - min_sites) <= F.greatest(F.lit(1.0), F.lit(BAND * min_sites))
-    guess = guess.withColumn("near", near)
-    exact = sites.join(guess.where("near").select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
-    sure = guess.where(~F.col("near") & (F.col("guess") >= min_sites)).select("h1", "h2")
-    return seen.join(sure.unionByName(exact), ["h1", "h2"], "left_semi")
+def spread(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """h1, h2, first (no, doc_id, at), near: lines that are boilerplate, and lines near it that must be counted."""
+    seen = _lines(docs).groupBy("h1", "h2").agg(F.hll_sketch_agg("source", F.lit(LG_K)).alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "at")).alias("first"))
+    guess = seen.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("guess"))
+    near = F.abs(F.col("guess") - min_sites) <= F.greatest(F.lit(min(1.0, min_sites - 0.5)), F.lit(BAND * min_sites))
+    return guess.withColumn("near", near).where(F.col("near") | (F.col("guess") >= min_sites)).drop("guess")
 
 
 def decisions(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, drop (places of lines to remove, in order): one row per document that loses a line."""
-    lines, flagged = _lines(docs), boilerplate(docs, min_sites)
-    hit = lines.join(flagged.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
-    return hit.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "h1"))).alias("drop"))
+    marked = staged(spread(docs, min_sites), "lines-spread")
+    hits = staged(_lines(docs).join(marked.hint("merge"), ["h1", "h2"]), "lines-hits")
+    # Distinct (line, site) rows are made for the lines near the threshold alone, map-side first.
+    exact = hits.where("near").groupBy("h1", "h2").agg(F.count_distinct("source").alias("n")).where(F.col("n") >= min_sites)
+    elsewhere = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("at") != F.col("first.at"))
+    hits = hits.where(elsewhere).select("doc_id", "at", "h1", "h2", "near")
+    gone = hits.where("not near").select("doc_id", "at", "h1").unionByName(hits.where("near").join(exact.hint("merge"), ["h1", "h2"], "left_semi").select("doc_id", "at", "h1"))
+    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "h1"))).alias("drop"))
 
 
-def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with _lines, _removed; text without the lines to remove.
+def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, str, str]:
+    """docs with two columns more, and their names: the lines that go (null: none), and the text without them.
 
     Only places and hashes are shuffled by line; a text moves once, to meet its
     own places. That join is a merge at every size: the places grow with the
     documents, and their ids are distinct, so it has no skew.
     """
-    d = staged(decisions(docs, min_sites), "lines-drop").select(F.col("doc_id").alias("_drop_id"), F.col("drop").alias("_drop"))
-    out = docs.join(d.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(d["_drop_id"]), "left")
-    split = F.split("text", "\n")
-    goes = lambda x, i: F.array_contains("_drop", F.struct(i.alias("at"), F.xxhash64(x).alias("h1")))
-    kept = F.filter(split, lambda x, i: ~goes(x, i))
-    text = F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.withColumn("_kept", text)
+    key, drop, kept = fresh(docs, "_drop_id", "_drop", "_kept")
+    d = staged(decisions(docs, min_sites), "lines-drop").select(F.col("doc_id").alias(key), F.col("drop").alias(drop))
+    out = docs.join(d.hint("merge"), value(docs, "doc_id", "long").eqNullSafe(d[key]), "left")
+    text = value(docs, "text", "string")
+    goes = lambda x, i: F.array_contains(drop, F.struct(i.alias("at"), F.xxhash64(x).alias("h1")))
+    rest = F.filter(F.split(text, "\n"), lambda x, i: ~goes(x, i))
+    rest = F.when(F.col(drop).isNull() | text.isNull(), text).otherwise(F.array_join(rest, "\n"))
+    return out.withColumn(kept, rest).select(*own(docs), drop, kept), drop, kept
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, drop_emptied: bool = False) -> DataFrame:
@@ -86,20 +82,18 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, drop_emptied: bool
     drop_emptied: rows that lost lines and have no word left go. All they held
     stands elsewhere; rows without words from the start stay.
     """
-    c = clean(docs, min_sites)
+    c, drop, kept = clean(docs, min_sites)
     if drop_emptied:
-        c = c.where(F.col("_drop").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("_kept")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_drop").isNull(), docs["n_chars"]).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)
-    return c.select(*[new.get(k, docs[f"`{k}`"]).alias(k) for k in docs.columns])
+        c = c.where(F.col(drop).isNull() | F.col(kept).rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.col(kept), "n_chars": F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.length(kept))}
+    return c.select(*[(changed[f.name.lower()].cast(f.dataType) if f.name.lower() in changed else F.col(f"`{f.name}`")).alias(f.name) for f in docs.schema.fields])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    c = clean(docs)
+    c, drop, kept = clean(docs)
     n = lambda t: F.coalesce(F.size(F.split(t, "\n")), F.lit(0))
-    return c.select("doc_id", n(F.col("text")).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
+    return c.select("doc_id", n(F.col("text")).cast("long").alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"))
 
 
 SQL = rf"""

@@ -9,8 +9,8 @@ that is left for the documents that come first by a seeded hash.
 
 Defined results: a null text has size 0; a null source is a source, the last;
 rows with the same id (null too) are decided together; an empty table gives an
-empty result; columns of the input named like those made here are untouched, as
-only doc_id, source and text are read.
+empty result; a table without a source is one source; columns of the input named like
+those made here are untouched, as only doc_id, source and text are read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..runtime import staged, table
-from .text import columns, n_words
+from .text import columns, fresh, n_words, own, value
 
 MAX_EPOCHS = 3
 SEED = "mix-1-"
@@ -85,11 +85,12 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, weight=
     Decisions hang on (doc_id, source) alone, so rows that share both share
     theirs, and the join needs one decision a pair.
     """
+    key, source, times = fresh(docs, "_mix_id", "_mix_source", "_mix_copies")
     d = copies(docs, max_epochs, seed, weight).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    d = d.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"))
-    took = docs.join(d.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(d["_mix_id"]) & docs["source"].eqNullSafe(d["_mix_source"]))
-    took = took.where("_mix_copies > 0").withColumn("_mix_copies", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return took.select(*[docs[f"`{c}`"] for c in docs.columns])
+    d = d.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("copies").alias(times))
+    took = docs.join(d.hint("merge"), value(docs, "doc_id", "long").eqNullSafe(d[key]) & value(docs, "source", "string").eqNullSafe(d[source]))
+    took = took.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return took.select(*own(docs))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,13 @@ what a rule covers is then set aside and the next one is learned. Each step is
 one aggregation to (statistic, bin) counts, which is all that the driver sees.
 The list is applied as one ordered chain of conditional expressions.
 
+Parameters: thresholds are tried at the BINS-quantiles of all labelled rows and
+of the bad ones. A rule grows until no condition gains, or it covers bad rows
+alone. The list grows until the next rule would be right less often than
+MIN_PRECISION on the rows kept for pruning, or cover less of the bad ones than
+MIN_SHARE (and MIN_COVER rows at least); `max_rules` and `max_conditions` end it
+earlier if they are given.
+
 Defined results: a null text counts as empty, an empty one has no words and
 fails the base rule; labels that are null, repeated with conflict or without a
 document are not learned from; without labels of both kinds there are no rules
@@ -25,10 +32,9 @@ from ..runtime import staged, table
 from .text import SPACE, columns, fold, whole, words
 
 BINS = 16
-MAX_RULES = 8
-MAX_CONDITIONS = 3
 MIN_PRECISION = 0.9
 MIN_COVER = 20
+MIN_SHARE = 0.002
 FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "letter_share")
 
 
@@ -83,7 +89,7 @@ def _counts(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[tup
     return out
 
 
-def learn(labelled: DataFrame) -> list[list[Condition]]:
+def learn(labelled: DataFrame, max_rules: int | None = None, max_conditions: int | None = None) -> list[list[Condition]]:
     """labelled: FEATURES, bad (1: low quality), prune (the third kept for pruning)."""
     total = labelled.agg(F.sum("bad").alias("p"), F.count("*").alias("n"), *[F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 10000).alias(f) for f in FEATURES]).first()
     if not total["p"] or total["p"] == total["n"]:
@@ -91,11 +97,12 @@ def learn(labelled: DataFrame) -> list[list[Condition]]:
     # The tails of rare junk lie beyond the quantiles of all rows, so those of the bad rows cut too.
     tails = labelled.where("bad = 1").agg(*[F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 10000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted({*total[f], *tails[f]}) for f in FEATURES}
+    cover = max(MIN_COVER, MIN_SHARE * total["p"])
     rules: list[list[Condition]] = []
     left = labelled
-    while len(rules) < MAX_RULES:
+    while max_rules is None or len(rules) < max_rules:
         rule: list[Condition] = []
-        while len(rule) < MAX_CONDITIONS:
+        while max_conditions is None or len(rule) < max_conditions:
             grow = left.where(~F.col("prune"))
             counts = _counts(grow.where(holds(rule)) if rule else grow, cuts)
             p0, n0 = (sum(x) for x in zip(*next(iter(counts.values()))))
@@ -107,7 +114,7 @@ def learn(labelled: DataFrame) -> list[list[Condition]]:
                 for (bp, bn), t in zip(counts[f], cs):
                     p, n = p + bp, n + bn
                     for op, a, b in (("<=", p, n), (">", p0 - p, n0 - n)):
-                        gain = a * (math.log2(a / (a + b)) - math.log2(p0 / (p0 + n0))) if a >= MIN_COVER / 2 else 0.0
+                        gain = a * (math.log2(a / (a + b)) - math.log2(p0 / (p0 + n0))) if a >= cover / 2 else 0.0
                         if gain > best:
                             best, found = gain, (f, op, t)
             if not found:
@@ -120,7 +127,7 @@ def learn(labelled: DataFrame) -> list[list[Condition]]:
         worth = [((row[f"p{i}"] - row[f"n{i}"]) / max(1, row[f"p{i}"] + row[f"n{i}"]), -i) for i in range(len(prefixes))]
         i = -max(worth)[1]
         p, n = row[f"p{i}"], row[f"n{i}"]
-        if p + n < MIN_COVER / 2 or p < MIN_PRECISION * (p + n):
+        if p + n < cover / 2 or p < MIN_PRECISION * (p + n):
             break
         rules.append(prefixes[i])
         left = left.where(~holds(prefixes[i]))
@@ -139,7 +146,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics of every document, base_failed, the rule that rejects it (0: none) and kept."""
     stats = staged(statistics(docs), "rules-statistics")
     marked = columns(labels, doc_id="long", quality="int").dropna().groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2 and q in (0, 1)")
-    labelled = staged(stats.where(~base_failed()).join(marked, "doc_id").select(*FEATURES, (1 - F.col("q")).alias("bad"), (fold(F.col("doc_id"), 3) == 0).alias("prune")).coalesce(4), "rules-labelled")
+    labelled = staged(stats.where(~base_failed()).join(marked, "doc_id").select(*FEATURES, (1 - F.col("q")).alias("bad"), (fold(F.col("doc_id"), 3) == 0).alias("prune")), "rules-labelled")
     rules = learn(labelled)
     return stats.withColumns({"base_failed": base_failed(), "rule": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 

@@ -35,12 +35,14 @@ from pyspark.sql.window import Window as W
 
 from ..graph import components
 from ..runtime import staged
-from .text import columns, whole
+from .text import columns, fresh, own, value, whole
 
 SEED = 42
 SIZE = 5
 #: Texts whose shingles are counted for the order, and how many of them make a shingle common.
 SAMPLE, COMMON, MOST = 20_000, 3, 500_000
+#: Shingles of so many texts of the sample are too frequent for one task.
+HOT = 200
 #: 0.8 as a fraction, so that the tests are in whole numbers: |a and b| * 9 >= 4 * (|a| + |b|).
 _PART, _OF = 4, 5
 _ROWS = 256
@@ -54,9 +56,9 @@ def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
-def node() -> Column:
+def node(text: Column) -> Column:
     """What names a text: equal texts are one node."""
-    return F.xxhash64(whole(F.col("text")))
+    return F.xxhash64(whole(text))
 
 
 def _sets(docs: DataFrame, size: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
@@ -81,7 +83,7 @@ def _sets(docs: DataFrame, size: int, common: tuple[np.ndarray, np.ndarray] | No
                 ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))], ["doc_id", "node", "n", "set"])
 
-    d = columns(docs, doc_id="long", text="string").select("doc_id", node().alias("node"), "text")
+    d = columns(docs, doc_id="long", text="string").select("doc_id", node(F.col("text")).alias("node"), "text")
     return d.mapInArrow(run, "doc_id long, node long, n long, set array<long>")
 
 
@@ -89,7 +91,7 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample hold, with their counts; it only sets the order."""
     every = max(1, docs.count() // SAMPLE)
     some = columns(docs, doc_id="long", text="string")
-    some = some.where(F.pmod(node(), F.lit(every)) == 0)
+    some = some.where(F.pmod(node(F.col("text")), F.lit(every)) == 0)
     c = _sets(some, size).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
     got = c.orderBy(F.desc("c"), "h").limit(MOST).orderBy("h").toArrow()
     return got.column("h").to_numpy(), got.column("c").to_numpy()
@@ -104,7 +106,7 @@ def _meet(a: str, b: str) -> Column:
 def _similar(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """Those of the pairs (u, v) that are similar on their whole sets."""
     need = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "similar-need")
-    d = columns(docs, doc_id="long", text="string").withColumn("node", node()).join(need.hint("merge"), "node", "left_semi")
+    d = columns(docs, doc_id="long", text="string").withColumn("node", node(F.col("text"))).join(need.hint("merge"), "node", "left_semi")
     sets = staged(_sets(d, size).select("node", "set").dropDuplicates(["node"]), "similar-sets")
     one, two = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "uv")
     both = pairs.join(one.hint("merge"), "u").join(two.hint("merge"), "v")
@@ -112,30 +114,51 @@ def _similar(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     return staged(both.where(shared * (_PART + _OF) >= (F.size("set_u") + F.size("set_v")) * _PART).select("u", "v"), "similar-links")
 
 
-def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of every row, and (u, v): links that connect all similar nodes."""
-    d = staged(_sets(docs, size, _common(docs, size)), "similar-prefix")
-    first = d.select("node", "n", "set").dropDuplicates(["node"])
-    p = first.select("node", "n", F.posexplode("set").alias("at", "h"))
-    p = p.withColumns({"hub": F.min(F.struct("node", "n", "at")).over(W.partitionBy("h")), "held": F.count("*").over(W.partitionBy("h"))})
-    p = staged(p.where("held > 1").select("h", F.struct("node", "n", "at").alias("x"), "hub"), "similar-met")
-    tried = staged(p.where(F.col("x.node") != F.col("hub.node")).where(_meet("x", "hub")).select(F.col("x.node").alias("u"), F.col("hub.node").alias("v")).distinct(), "similar-hubs")
+def _with_hubs(p: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """p (h, node, n, at) to (h, x, hub) for the shingles that several texts hold: x is the row, hub the least of its shingle.
+
+    Shingles that the sample holds often may stand in a third of all texts; their
+    least row is an aggregate that is joined back, which AQE splits where it is
+    skewed. All others meet in one window each.
+    """
+    hot = p.sparkSession.createDataFrame([(h,) for h in common[0][common[1] >= HOT].tolist()], "h long")
+    x = F.struct("node", "n", "at")
+    by = W.partitionBy("h")
+    cold = p.join(F.broadcast(hot), "h", "left_anti")  # at most SAMPLE * shingles a text / HOT rows, MOST at the outside
+    cold = cold.withColumns({"hub": F.min(x).over(by), "held": F.count("*").over(by)}).where("held > 1").select("h", x.alias("x"), "hub")
+    warm = p.join(F.broadcast(hot), "h", "left_semi")
+    hubs = warm.groupBy("h").agg(F.min(x).alias("hub"), F.count("*").alias("held")).where("held > 1").select("h", "hub")
+    return cold.unionByName(warm.join(hubs.hint("merge"), "h").select("h", x.alias("x"), "hub"))
+
+
+def links(docs: DataFrame, size: int = SIZE, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of every row, and (u, v): links that connect all similar nodes.
+
+    candidates (u, v with u > v): pairs that another search found; they are verified
+    with the first round's and spare the second one what they join."""
+    common = _common(docs, size)
+    d = staged(_sets(docs, size, common), "similar-prefix")
+    p = d.select("node", "n", "set").dropDuplicates(["node"]).select("node", "n", F.posexplode("set").alias("at", "h"))
+    p = staged(_with_hubs(p, common), "similar-met")
+    tried = p.where(F.col("x.node") != F.col("hub.node")).where(_meet("x", "hub")).select(F.col("x.node").alias("u"), F.col("hub.node").alias("v"))
+    tried = staged((tried if candidates is None else tried.unionByName(candidates)).distinct(), "similar-hubs")
     found = _similar(docs, tried, size)
     root = staged(components(found), "similar-roots")
-    p = p.select("h", "x", F.col("x.node").alias("node")).join(root, "node", "left").select("h", "x", F.coalesce("root", "node").alias("root"))
-    # One row per shingle and component: members of a family do not meet each other.
-    p = p.groupBy("h", "root").agg(F.collect_list("x").alias("xs"))
-    p = staged(p.withColumn("roots", F.count("*").over(W.partitionBy("h"))).where("roots > 1").drop("roots"), "similar-open")
-    a, b = p.select("h", F.col("root").alias("ra"), F.col("xs").alias("xa")), p.select("h", F.col("root").alias("rb"), F.col("xs").alias("xb"))
-    met = a.join(b, "h").where("ra < rb").select(F.explode("xa").alias("a"), "xb").select("a", F.explode("xb").alias("b")).where(_meet("a", "b"))
+    p = p.select("h", "x", F.col("x.node").alias("node")).join(root.hint("merge"), "node", "left").select("h", "x", F.coalesce("root", "node").alias("root"))
+    p = staged(p, "similar-placed")
+    # Members of a family do not meet each other; shingles that one family alone holds are done.
+    still = p.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
+    p = staged(p.join(still.hint("merge"), "h", "left_semi"), "similar-open")
+    a, b = (p.select("h", F.col("root").alias(f"r{k}"), F.col("x").alias(k)) for k in "ab")
+    met = a.join(b.hint("merge"), "h").where("ra < rb").where(_meet("a", "b"))
     met = met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
     rest = staged(met.join(tried.hint("merge"), ["u", "v"], "left_anti"), "similar-rest")
     return d.select("doc_id", "node"), found.unionByName(_similar(docs, rest, size))
 
 
-def groups(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def groups(docs: DataFrame, size: int = SIZE, candidates: DataFrame | None = None) -> DataFrame:
     """doc_id, node, root of every row; rows with one root are one group."""
-    rows, found = links(docs, size)
+    rows, found = links(docs, size, candidates)
     root = components(found)
     return rows.join(root, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
@@ -144,15 +167,11 @@ def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """docs with one row of every group of `grouped` (doc_id, node, root): the least id's, null last."""
     rows = grouped.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n"))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node", "n")).alias("x"))
-    best = staged(best.select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("_of"), F.col("x.n").alias("n")), "keep-one")
-    d = docs.withColumns({"_node": node(), "_key": F.col("doc_id").cast("long")})
-    kept = d.join(best.select("_id", "_of").hint("merge"), (F.col("_node") == F.col("_of")) & F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
+    key, of, nth, best_key, best_of = fresh(docs, "_key", "_node", "_nth", "_best_key", "_best_node")
+    best = staged(best.select(F.col("x.doc_id").alias(best_key), F.col("x.node").alias(best_of), F.col("x.n").alias("n")), "keep-one")
+    d = docs.withColumns({of: node(value(docs, "text", "string")), key: value(docs, "doc_id", "long")})
+    kept = d.join(best.select(best_key, best_of).hint("merge"), (F.col(of) == F.col(best_of)) & F.col(key).eqNullSafe(F.col(best_key)), "left_semi")
     if not best.where("n > 1").isEmpty():  # repeated rows; only then must texts move once more
-        order = F.xxhash64(*[f"`{c}`" for c in docs.columns])
-        kept = kept.withColumn("_nth", F.row_number().over(W.partitionBy("_node", "_key").orderBy(order))).where("_nth = 1")
-    return kept.select(*[f"`{c}`" for c in docs.columns])
-
-
-def near_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """The rows of docs that stay: one of every group."""
-    return keep_one(docs, staged(groups(docs, size), "similar-groups"))
+        order = F.xxhash64(*own(docs))
+        kept = kept.withColumn(nth, F.row_number().over(W.partitionBy(of, key).orderBy(order))).where(F.col(nth) == 1)
+    return kept.select(*own(docs))

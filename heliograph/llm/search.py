@@ -1,13 +1,15 @@
 """Exact top-k search: an inverted index with block-max WAND for BM25.
 
 Documents are indexed in shards of at most SHARD_DOCS rows and about SHARD_WORDS
-words: sorted term hashes, and for each term its postings in document order. A
-shard's documents are cut into blocks of BLOCK_DOCS. For a query, the sums over
-its terms of the best impact in each block bound what the block can hold; the
-blocks of highest bound are scored first, and of the others only those whose
-bound reaches the k-th score found. Global statistics (documents, mean length, document frequencies of the
-queries' terms) are counted over all rows first, so scores are the same in any
-shard, and the best k of all shards' best k are exact.
+words: sorted term hashes, and for each term its postings in document order, cut
+into blocks of BLOCK_DOCS documents with the best impact of each. A batch of
+queries moves through a shard in document order from pivot to pivot: blocks that
+the sums of best impacts keep below a query's k-th score are passed over.
+Global statistics (documents, mean length, document frequencies of the queries'
+terms) are counted over all rows first, so scores are the same in any shard. A
+task carries each query's best k from shard to shard and sends them once, and
+where shards are many, one in SAMPLED of them is searched first for the scores
+that all tasks start from. The best k of all tasks' best k are exact.
 
 Queries go out in blocks of at most QUERY_TERMS distinct terms in all; the index
 is written once to the shared folder and read for each block.
@@ -16,7 +18,7 @@ Ranks follow the score rounded to 6 places, then the id. Defined results: null
 and empty texts match nothing, as documents and as queries, and count as
 documents of length 0; a document is a hit only if it shares a term; repeated
 rows are hits of their own; queries that share an id are one, with the least of
-their texts; null ids come last among equals; only doc_id and
+their texts, and queries without an id are left out; null ids come last among equals; only doc_id and
 text are read.
 """
 
@@ -42,8 +44,10 @@ BLOCK_DOCS = 64
 QUERY_TERMS = 2_000_000
 #: A term in one of so many documents of a shard is kept as a row of a matrix.
 FREQUENT = 16
-#: Queries that a shard scores together.
-BATCH = 256
+#: Queries that a shard scores together, and blocks between two looks at the k-th scores.
+BATCH, STRIDE = 256, 4
+#: One in so many shards is searched first, for scores to start from.
+SAMPLED = 16
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +119,37 @@ def statistics(index: DataFrame, terms: DataFrame) -> tuple[int, float, DataFram
     return r["n"] or 0, (r["total"] or 0) / max(1, r["n"] or 0), staged(df, "search-df")
 
 
+class Best:
+    """The best k of each query over all that was added: by score, then id, null ids last."""
+
+    def __init__(self, start: np.ndarray, k: int):
+        """start: a score that each query's k-th is known to reach, 0 where none is."""
+        self.k, self.least = k, start.copy()
+        self.score = np.zeros((len(start), k))
+        self.no = np.ones((len(start), k), np.int8)
+        self.id = np.zeros((len(start), k), np.int64)
+
+    def add(self, query: np.ndarray, score: np.ndarray, no: np.ndarray, ids: np.ndarray) -> None:
+        """Hits of any queries; scores are above 0."""
+        mine, local = np.unique(query, return_inverse=True)
+        old = np.repeat(np.arange(len(mine)), self.k)
+        q = np.concatenate([old, local])
+        s = np.concatenate([self.score[mine].ravel(), score])
+        n = np.concatenate([self.no[mine].ravel(), no.astype(np.int8)])
+        i = np.concatenate([self.id[mine].ravel(), ids])
+        order = np.lexsort((i, n, -s, q))
+        first = np.searchsorted(q[order], np.arange(len(mine)))
+        take = order[first[:, None] + np.arange(self.k)]  # each has its k old places, so k follow
+        self.score[mine], self.no[mine], self.id[mine] = s[take], n[take], i[take]
+        self.least[mine] = np.maximum(self.least[mine], self.score[mine, -1])
+
+
 class Shard:
+    """Postings cut at the borders of document blocks, with the best impact of every piece."""
+
     def __init__(self, row: dict, mean: float):
-        self.ids = row["ids"]
+        self.ids = np.array([0 if i is None else i for i in row["ids"]], np.int64)
+        self.no = np.array([i is None for i in row["ids"]], bool)
         length = np.frombuffer(row["length"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.offsets = np.frombuffer(row["offsets"], np.int64)
@@ -136,61 +168,96 @@ class Shard:
             mine = slice(self.offsets[t], self.offsets[t + 1])
             self.dense[r, self.doc[mine]] = self.impact[mine]
         self.best = self.dense.reshape(len(often), self.blocks, BLOCK_DOCS).max(2) if len(often) else np.zeros((0, self.blocks))
-
-    def top(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For a batch of queries, numbered from 0, with a weight for each (query, term):
-        the query, document and score of each one's best k and all that tie with the last of them.
-
-        The few postings of rare terms are added up first. What a block can hold
-        is the most that they give one of its documents, and the best impacts of
-        the frequent terms; these are summed for all queries by one product. The
-        four blocks of highest bound give each query a k-th score to begin with,
-        and only blocks whose bound reaches it are scored.
+        self.scored = 0
+
+    def top(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, best: Best, at: int) -> None:
+        """Adds the hits of a batch of queries, numbered from 0 (from `at` in best), with a weight for each (query, term).
+
+        The sum over a query's terms of the best impact that each has in a block
+        bounds every document of the block. A query's cursors move on, in document
+        order, to the next pivot: the next block whose bound reaches the query's
+        k-th score. Postings in between are never read, and the k-th score rises
+        with what the pivots hold. (The bound over whole postings lists, by which
+        plain WAND finds pivots, is never less than that of the block, so the
+        block's alone decides.)
         """
-        wide = self.blocks * BLOCK_DOCS
         row = self.row[term]
         rare = np.flatnonzero(row < 0)
-        start, end = self.offsets[term[rare]], self.offsets[term[rare] + 1]
-        n = end - start
+        start = self.offsets[term[rare]]
+        n = self.offsets[term[rare] + 1] - start
         which = np.repeat(rare, n)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-        scores = np.bincount(query[which] * wide + self.doc[at], self.impact[at] * weight[which], queries * wide).reshape(queries, wide)
+        post = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+        value, doc, owner = self.impact[post] * weight[which], self.doc[post], query[which]
+        block = doc // BLOCK_DOCS
         w = np.zeros((queries, len(self.dense)))
         often = row >= 0
         w[query[often], row[often]] = weight[often]
-        bound = scores.reshape(queries, self.blocks, BLOCK_DOCS).max(2) + w @ self.best
-        done = np.zeros((queries, self.blocks), bool)
-
-        def add(wanted: np.ndarray) -> None:
-            for b in np.flatnonzero(wanted.any(0)):
-                q = np.flatnonzero(wanted[:, b])
+        bound = w @ self.best
+        if len(post):
+            piece = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (block[1:] != block[:-1])]))
+            most = np.maximum.reduceat(value, piece)
+            bound += np.bincount(owner[piece] * self.blocks + block[piece], most, queries * self.blocks).reshape(bound.shape)
+        order = np.argsort(block, kind="stable")
+        value, doc, owner = value[order], doc[order], owner[order]
+        edge = np.searchsorted(block[order], np.arange(self.blocks + 1))
+        least = best.least[at : at + queries]
+        place = np.full(queries, -1)
+        for stride in range(0, self.blocks, STRIDE):
+            found: list[tuple] = []
+            live = (bound[:, stride : stride + STRIDE] > 0) & (bound[:, stride : stride + STRIDE] + 2e-6 >= least[:, None])
+            for b in stride + np.flatnonzero(live.any(0)):
+                q = np.flatnonzero(live[:, b - stride])
+                self.scored += len(q)
                 here = slice(b * BLOCK_DOCS, (b + 1) * BLOCK_DOCS)
-                scores[q, here] += w[q] @ self.dense[:, here]
-            done[wanted] = True
-
-        first = np.zeros_like(done)
-        if self.blocks > 4:
-            np.put_along_axis(first, np.argpartition(-bound, 3, axis=1)[:, :4], True, 1)
-        add((first | (self.blocks <= 4)) & (bound > 0))
+                scores = w[q] @ self.dense[:, here]
+                place[q] = np.arange(len(q))
+                own = place[owner[edge[b] : edge[b + 1]]]
+                mine = own >= 0
+                scores += np.bincount(own[mine] * BLOCK_DOCS + doc[edge[b] : edge[b + 1]][mine] % BLOCK_DOCS, value[edge[b] : edge[b + 1]][mine], scores.size).reshape(scores.shape)
+                place[q] = -1
+                scores = np.round(scores, 6)
+                r, d = np.nonzero((scores > 0) & (scores >= np.round(least[q], 6)[:, None]))
+                found.append((q[r], scores[r, d], b * BLOCK_DOCS + d))
+            if found and sum(len(f[0]) for f in found):
+                q, s, d = (np.concatenate(x) for x in zip(*found))
+                best.add(at + q, s, self.no[d], self.ids[d])
+
+
+def _hits(index: DataFrame, sent, k: int, mean: float) -> DataFrame:
+    """query_id, doc_id, score: what the tasks' shards hold of each query's best k, k rows a query and task at most.
+
+    sent: the broadcast queries, (ids, start) of each and (number, term, weight) of their terms. A task keeps its
+    best over all its shards, so every shard starts from the scores of the ones before it.
+    """
 
-        def kth() -> np.ndarray:
-            full = np.where(np.repeat(done, BLOCK_DOCS, 1), scores, 0)
-            return np.partition(full, -k, axis=1)[:, -k] if wide >= k else np.zeros(queries)
-
-        add(~done & (bound > 0) & (bound + 2e-6 >= kth()[:, None]))
-        scores[~np.repeat(done, BLOCK_DOCS, 1)] = 0
-        least = np.partition(scores, -k, axis=1)[:, -k] if wide >= k else np.zeros(queries)
-        q, d = np.nonzero((scores > 0) & (scores + 2e-6 >= least[:, None]))
-        score = np.round(scores[q, d], 6)
-        keep = score >= np.round(least, 6)[q]
-        return q[keep], d[keep], score[keep]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, start, number, term, weight = sent.value
+        best = Best(start, k)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = Shard(batch.slice(i, 1).to_pylist()[0], mean)
+                if not len(shard.terms) or not len(qid):
+                    continue
+                at = np.minimum(np.searchsorted(shard.terms, term), len(shard.terms) - 1)
+                have = np.flatnonzero(shard.terms[at] == term)
+                q, at, w = number[have], at[have], weight[have]
+                cut = np.searchsorted(q, np.arange(0, len(qid) + BATCH, BATCH))
+                for j, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                    if a < b:
+                        shard.top(q[a:b] - j * BATCH, at[a:b], w[a:b], min(BATCH, len(qid) - j * BATCH), best, j * BATCH)
+        q, place = np.nonzero(best.score > 0)
+        ids = pa.array(best.id[q, place], mask=best.no[q, place] > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(qid[q]), ids, pa.array(best.score[q, place])], ["query_id", "doc_id", "score"])
+
+    # A row is a shard of several MB, so batches of few rows.
+    return index.drop("shard").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, index: DataFrame | None = None) -> DataFrame:
     """query_id, rank, doc_id, score: the best k documents for each query (doc_id, text)."""
     spark = docs.sparkSession
     index = staged(build_index(docs), "search-index") if index is None else index
-    own = columns(queries, doc_id="long", text="string").groupBy("doc_id").agg(F.min("text").alias("text"))
+    own = columns(queries, doc_id="long", text="string").where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
     terms = staged(query_terms(own), "search-queries").withColumn("n", F.size("terms"))
     n, mean, df = statistics(index, terms)
     # Queries in blocks: a running count of terms, over partitions and then within each.
@@ -200,43 +267,26 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, index: DataFrame | N
     total = terms.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // QUERY_TERMS))
     weighted = staged(weighted.select("query_id", "term", (idf * F.col("count")).alias("weight"), F.pmod("h", F.lit(blocks)).alias("part")), "search-weights")
+    index = index.withColumn("shard", F.pmod(F.xxhash64("length", "doc"), F.lit(SAMPLED)))
+    sampled = index.count() >= 2 * SAMPLED
+    ranked = lambda hits: hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())))
     found = []
     for part in range(blocks):
         own = weighted.where(F.col("part") == part).select("query_id", "term", "weight").orderBy("query_id", "term").toArrow()
-        sent = spark.sparkContext.broadcast(tuple(own.column(c).to_numpy() for c in ("query_id", "term", "weight")))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, term, weight = sent.value
-            term = term.view(np.uint64)
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    shard = Shard(batch.slice(i, 1).to_pylist()[0], mean)
-                    if not len(shard.terms) or not len(qid):
-                        continue
-                    at = np.minimum(np.searchsorted(shard.terms, term), len(shard.terms) - 1)
-                    have = np.flatnonzero(shard.terms[at] == term)
-                    q, at, w = qid[have], at[have], weight[have]
-                    number, local = np.unique(q, return_inverse=True)
-                    out: list[list] = [[], [], []]
-                    cut = np.searchsorted(local, np.arange(0, len(number) + BATCH, BATCH))
-                    for j, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-                        if a == b:
-                            continue
-                        size = min(BATCH, len(number) - j * BATCH)
-                        at_q, hit, score = shard.top(local[a:b] - j * BATCH, at[a:b], w[a:b], size, k)
-                        out[0].append(number[at_q + j * BATCH])
-                        out[1] += [shard.ids[h] for h in hit.tolist()]
-                        out[2].append(score)
-                    if out[0]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(out[1], pa.int64()), pa.array(np.concatenate(out[2]))], ["query_id", "doc_id", "score"])
-
-        # A row is a shard of several MB, so batches of few rows.
-        found.append(index.mapInArrow(run, "query_id long, doc_id long, score double"))
+        qid = own.column("query_id").to_numpy()
+        ids, number = np.unique(qid, return_inverse=True)
+        rest = (number, own.column("term").to_numpy().view(np.uint64), own.column("weight").to_numpy())
+        start = np.zeros(len(ids))
+        if sampled:
+            # The k-th scores among a share of the shards are reached by all: the other tasks send little below them.
+            first = _hits(index.where("shard = 0"), spark.sparkContext.broadcast((ids, start, *rest)), k, mean)
+            for r in ranked(first).where(F.col("rank") == k).select("query_id", "score").collect():
+                start[np.searchsorted(ids, r["query_id"])] = r["score"]
+        found.append(_hits(index, spark.sparkContext.broadcast((ids, start, *rest)), k, mean))
     hits = found[0]
     for f in found[1:]:
         hits = hits.unionByName(f)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    return ranked(hits).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..graph import components
 from ..runtime import staged, table
-from .resemblance import keep_one, node
+from .resemblance import SIZE, groups as similar_groups, keep_one, node
 from .text import columns
 
 SEED = 42
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, size: int = 3, named: bool = False) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", "node"][: batch.num_columns])
 
     d = columns(docs, doc_id="long", text="string")
-    return (d.withColumn("node", node()) if named else d).mapInArrow(run, "doc_id long, fp long" + ", node long" * named)
+    return (d.withColumn("node", node(F.col("text"))) if named else d).mapInArrow(run, "doc_id long, fp long" + ", node long" * named)
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -219,24 +219,40 @@ def _hot_links(fps: DataFrame, parts: list[tuple[list[int], int]], full: DataFra
     return q.join(hub, ["part", "key", "point"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
 
 
-def _grouped(d: DataFrame, distance: int, hot: int) -> DataFrame:
-    """The rows of fingerprints with root and component_id."""
+def groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """doc_id, fp, component_id of every row."""
+    d = staged(fingerprints(docs, size), "simhash-fingerprints")
     fps = staged(d.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     comp = components(links(fps.select("fp"), distance, hot))
     rooted = staged(fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return d.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
-
-
-def groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    return _grouped(staged(fingerprints(docs, size), "simhash-fingerprints"), distance, hot).select("doc_id", "fp", "component_id")
-
-
-def near_dedup(docs: DataFrame, size: int = 3, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """The rows of docs that stay: one of every group, the least id's (null last); texts that share an id are decided each."""
-    d = staged(fingerprints(docs, size, named=True), "simhash-fingerprints")
-    return keep_one(docs, staged(_grouped(d, distance, hot).select("doc_id", "node", "root"), "simhash-groups"))
+    return d.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def candidates(docs: DataFrame, size: int = SIZE, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """u, v: pairs of texts (nodes) worth comparing. Texts with equal fingerprints meet the least of
+    them, and the least ones of fingerprints that the search links meet; this is linear in the texts."""
+    d = staged(fingerprints(docs, size, named=True).select("fp", "node").distinct(), "simhash-nodes")
+    first = staged(d.groupBy("fp").agg(F.min("node").alias("first")), "simhash-first")
+    same = d.join(first.hint("merge"), "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    l = links(first.select("fp"), distance, hot)
+    far = l.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")).hint("merge"), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")).hint("merge"), "v")
+    pairs = same.unionByName(far.select(F.col("a").alias("u"), F.col("b").alias("v"))).where("u <> v")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def near_dedup(docs: DataFrame, size: int = SIZE, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """The rows of docs that stay: one of every group of texts whose sets of `size`-word shingles
+    have a similarity of 0.8 or more, by any chain of links.
+
+    Fingerprints of these shingles find candidates; each pair is verified on the
+    whole sets. Fingerprints alone would miss similar texts that differ in more
+    bits, so the prefix filter of `resemblance`, which misses none, looks for what
+    is not linked yet. The least id of a group stays, null last; texts that share
+    an id are decided each.
+    """
+    found = staged(candidates(docs, size, distance, hot), "simhash-candidates")
+    return keep_one(docs, staged(similar_groups(docs, size, found), "simhash-groups"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

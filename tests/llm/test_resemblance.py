@@ -45,8 +45,10 @@ def test_all_similar_pairs(spark, monkeypatch, common):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(root))
 
 
-@pytest.mark.parametrize("dedup", [simhash.near_dedup, resemblance.near_dedup])
-def test_surviving_rows_of_odd_ids(spark, dedup):
+@pytest.mark.parametrize("hot", [10**9, 0])
+def test_surviving_rows_of_odd_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr(resemblance, "HOT", hot)
+    dedup = simhash.near_dedup
     r = random.Random(8)
     w = [f"word{i}" for i in range(4000)]
     a, b, c, d, e = (" ".join(r.choice(w) for _ in range(80)) for _ in range(5))
