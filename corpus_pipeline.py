@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import bpe, line_dedup, mixing, resemblance, toxicity
+from heliograph.llm import bpe, line_dedup, mixing, simhash, toxicity
+from heliograph.llm.text import fresh, own
 from heliograph.runtime import staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("_score") < 0.5).select(*[f"`{c}`" for c in docs.columns])
+    (name,) = fresh(docs, "_score")
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), into=name)
+    return scored.where(F.col(name) < 0.5).select(*own(docs))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return resemblance.near_dedup(docs)
+    return simhash.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
