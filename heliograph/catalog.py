@@ -13,7 +13,7 @@ from .functions import vectors as V
 from .operators import boxes, evaluate, hierarchy, knn, models, ontology, quantize, retrieval, sets
 from .operators.som import TreeSom
 from .plans import expression
-from .runtime import table
+from .runtime import staged, table
 from .streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,7 +304,7 @@ def _chain(spark, d):
 r AS (SELECT c, p FROM e UNION ALL SELECT r.c, e.p FROM r JOIN e ON e.c = r.p)
 SELECT c AS child_idx, max(p) AS root_idx FROM r GROUP BY c""")
 def root_of(spark, d):
-    return hierarchy.roots(_chain(spark, d), 4)
+    return hierarchy.roots(_chain(spark, d))
 
 
 @query("SELECT o_orderkey AS child_idx, count(*) OVER (PARTITION BY o_custkey) - 1 AS n FROM orders")
@@ -477,7 +477,7 @@ def _counts(spark, d):
 @query(f"""WITH {_TERMS_SQL}, f AS (SELECT term, count(*) AS df FROM c GROUP BY term)
 SELECT doc_id, round(sum(ln(1 + n) * ln((SELECT count(*) FROM documents)::DOUBLE / df)), 5) AS weight FROM c JOIN f USING (term) GROUP BY doc_id""")
 def tfidf(spark, d):
-    c = _counts(spark, d)
+    c = staged(_counts(spark, d), "terms")
     df = c.groupBy("term").agg(F.count("*").alias("df"))
     n = table(spark, d, "documents").count()
     return c.join(df, "term").groupBy("doc_id").agg(F.round(F.sum(T.tf("l", F.col("n"), F.lit(1), F.lit(1)) * T.idf("l", F.lit(float(n)), F.col("df"))), 5).alias("weight"))
@@ -759,9 +759,9 @@ def pdf_precision(spark, d):
 @query("""SELECT event_type, min(k) AS first_hit, round((min(k) - 1 + 1) / (max(n) + 1.0), 9) AS share FROM
 (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n, user_id FROM events) WHERE user_id % 7 = 0 GROUP BY event_type""")
 def first_hit(spark, d):
-    w = W.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    e = table(spark, d, "events").withColumns({"k": F.row_number().over(w), "n": F.count("*").over(W.partitionBy("event_type"))}).where("user_id % 7 = 0")
-    return e.groupBy("event_type").agg(F.min("k").cast("long").alias("first_hit"), F.round(F.min("k") / (F.max("n") + 1.0), 9).alias("share"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("group"), F.col("event_id").alias("object_idx"), F.col("value").alias("score"), F.when(F.col("user_id") % 7 == 0, 1).otherwise(0).alias("relevant"))
+    r = evaluate.ranks(e).groupBy("group").agg(F.min(F.when(F.col("relevant") == 1, F.col("rank"))).alias("first_hit"), F.count("*").alias("n")).where("first_hit is not null")
+    return r.select(F.col("group").alias("event_type"), "first_hit", F.round(F.col("first_hit") / (F.col("n") + 1.0), 9).alias("share"))
 
 
 @query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER () AS pab, sum(n) OVER (PARTITION BY lang) / sum(n) OVER () AS pa, sum(n) OVER (PARTITION BY source) / sum(n) OVER () AS pb FROM c)
@@ -778,3 +778,7 @@ def conversation_chain(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
     lines = F.array_sort(F.collect_list(F.struct("turn", "role")))
     return c.groupBy("conv_id").agg(F.min("turn").cast("long").alias("first_turn"), F.array_join(F.transform(lines, lambda x: x["role"]), "+").alias("roles"), F.count("*").alias("n"))
+
+
+# The other catalogues register their queries here.
+from . import catalog_feedback  # noqa: E402, F401

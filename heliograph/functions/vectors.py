@@ -52,6 +52,29 @@ def distance(name: str, a: Column | str, b: Column | str, p: float = 3.0) -> Col
     raise ValueError(f"no distance is named {name}")
 
 
+def weighted_euclidean(a: Column | str, b: Column | str, w: Column | str) -> Column:
+    """Squares of the differences, weighted by component."""
+    return total(F.zip_with(pairwise(a, b, lambda x, y: (x - y) * (x - y)), _d(w), lambda x, y: x * y))
+
+
+def mahalanobis(a: Column | str, b: Column | str, matrix: list[list[float]], bias: float = 0.0) -> Column:
+    """d' M d for d = a - b, and a bias."""
+    d = pairwise(a, b, lambda x, y: x - y)
+    rows = F.array(*[dot(d, F.array(*[F.lit(float(x)) for x in r])) for r in matrix])
+    return dot(d, rows) + bias
+
+
+def divergence(p: Column | str, q: Column | str) -> Column:
+    """The sum of p ln(p / q) over components where both are positive."""
+    return total(pairwise(p, q, lambda x, y: F.when((x > 0) & (y > 0), x * F.log(F.try_divide(x, y))).otherwise(0.0)))
+
+
+def symmetric_kullback(a: Column | str, b: Column | str) -> Column:
+    """The mean of the two squared divergences."""
+    one, two = divergence(b, a), divergence(a, b)
+    return (one * one + two * two) / 2
+
+
 def normalise(v: Column | str, p: float = 2.0) -> Column:
     """v divided by its norm; a zero vector stays zero."""
     n = norm(v, p)

@@ -46,10 +46,13 @@ def knn_join(features: DataFrame, queries: DataFrame, k: int, metric: str = "euc
 
     Rows are never shuffled: each batch keeps k rows a query and only those meet
     in the window. The driver holds the ids of the stated queries, and their
-    vectors a block at a time. Similarities
+    vectors a block at a time. Rows without an id or a vector are left out; queries
+    that share an id are one, with the least of their vectors. Similarities
     (histogram_intersection) are negated, so the least is the nearest everywhere.
     """
     spark = features.sparkSession
+    features = features.where("object_idx is not null and vec is not null")
+    queries = queries.where("object_idx is not null and vec is not null").groupBy("object_idx").agg(F.min("vec").alias("vec"))
     ids = queries.select(F.col("object_idx").alias("q")).orderBy("q").toArrow().column("q").to_numpy()
     found = []
     for at in range(0, max(1, len(ids)), QUERY_BLOCK):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..runtime import staged
-from .knn import assign
 
 
 def histogram(values: DataFrame, low: float, high: float, bins: int) -> DataFrame:
@@ -50,20 +53,69 @@ def means(features: DataFrame, key: str) -> DataFrame:
     return p.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))
 
 
+def unit_sums(features: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """[unit, 2 + components]: how many objects are nearest to each centre, the sum of their distances and of their vectors.
+
+    A task holds one row a unit, whatever the number of objects; nothing else is shuffled.
+    """
+    sent = features.sparkSession.sparkContext.broadcast(centres)
+    units, dim = centres.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, acc = sent.value, np.zeros((units, dim + 2))
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                x = np.array(b.column(0).slice(s, 1024).to_pylist(), float)
+                d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ m.T + (m * m).sum(1), 0)
+                u = np.round(d, 9).argmin(1)
+                np.add.at(acc, u, np.column_stack([np.ones(len(x)), d[np.arange(len(x)), u], x]))
+        yield pa.RecordBatch.from_arrays([pa.array(range(units), pa.int32()), pa.array(acc.tolist(), pa.list_(pa.float64()))], ["unit", "acc"])
+
+    got = features.where("vec is not null").select(F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "unit int, acc array<double>")
+    acc = np.zeros((units, dim + 2))
+    for r in got.groupBy("unit").agg(F.array(*[F.sum(F.col("acc")[j]) for j in range(dim + 2)]).alias("acc")).collect():
+        acc[r["unit"]] = r["acc"]
+    return acc
+
+
+def _start(features: DataFrame, k: int) -> np.ndarray:
+    rows = features.where("vec is not null").orderBy(F.md5(F.concat(F.lit("kmeans-0-"), F.col("object_idx").cast("string")).cast("binary"))).limit(k).orderBy("object_idx").collect()
+    return np.array([r["vec"] for r in rows], float)
+
+
 def kmeans(features: DataFrame, k: int, rounds: int = 10) -> DataFrame:
-    """unit, vec by Lloyd's method from a seeded start; every round is one pass and one small aggregate.
+    """unit, vec by Lloyd's method from a seeded start; every round is one pass that ends in one row a unit.
     Empty units keep their place."""
-    start = features.orderBy(F.md5(F.concat(F.lit("kmeans-0-"), F.col("object_idx").cast("string")).cast("binary"))).limit(k)
-    centres = staged(start.withColumn("unit", F.row_number().over(W.orderBy("object_idx")).cast("long") - 1).select("unit", F.col("vec").cast("array<double>").alias("vec")), "kmeans")
+    centres = _start(features, k)
     for _ in range(rounds):
-        near = assign(features, centres).select("object_idx", "unit").join(features.select("object_idx", "vec"), "object_idx")
-        new = means(near, "unit")
-        new = staged(centres.alias("c").join(new.alias("n"), "unit", "left").select("unit", F.coalesce("n.vec", "c.vec").alias("vec")), "kmeans")
-        moved = new.alias("n").join(centres.alias("c"), "unit").agg(F.max(F.array_max(F.zip_with("n.vec", "c.vec", lambda x, y: F.abs(x - y))))).first()[0]
-        centres = new
-        if not moved or moved < 1e-9:
+        acc = unit_sums(features, centres)
+        new = np.where(acc[:, :1] > 0, acc[:, 2:] / np.maximum(acc[:, :1], 1), centres)
+        moved, centres = np.abs(new - centres).max(), new
+        if moved < 1e-9:
             break
-    return centres
+    return centres_frame(features, centres)
+
+
+def lbg(features: DataFrame, k: int, rounds: int = 6, shift: float = 1e-3) -> DataFrame:
+    """unit, vec by splitting: all centres are doubled, shifted apart, and moved by Lloyd's rounds, until there are k.
+    An empty cell takes the mean of the fullest one, shifted."""
+    acc = unit_sums(features, _start(features, 1))
+    centres = acc[:, 2:] / np.maximum(acc[:, :1], 1)
+    while True:
+        for _ in range(rounds):
+            acc = unit_sums(features, centres)
+            full = acc[:, 0].argmax()
+            new = np.where(acc[:, :1] > 0, acc[:, 2:] / np.maximum(acc[:, :1], 1), acc[full, 2:] / max(1, acc[full, 0]) + shift)
+            moved, centres = np.abs(new - centres).max(), new
+            if moved < 1e-9:
+                break
+        if len(centres) >= k:
+            return centres_frame(features, centres)
+        centres = np.concatenate([centres - shift, centres + shift])[: max(k, len(centres) + 1)]
+
+
+def centres_frame(features: DataFrame, centres: np.ndarray) -> DataFrame:
+    return features.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "unit long, vec array<double>")
 
 
 def decode_products(codes: DataFrame, codebook: DataFrame) -> DataFrame:

@@ -71,3 +71,29 @@ def as_of(left: DataFrame, right: DataFrame) -> DataFrame:
     both = left.select("key", "ts", "id", F.lit(None).cast("double").alias("value"), F.lit(1).alias("side")).unionByName(right.select("key", "ts", F.lit(None).cast("long").alias("id"), F.col("value").cast("double"), F.lit(0).alias("side")))
     w = W.partitionBy("key").orderBy("ts", "side").rowsBetween(W.unboundedPreceding, 0)
     return both.withColumn("value", F.last("value", ignorenulls=True).over(w)).where("side = 1").select("key", "ts", "id", "value")
+
+
+def dwell(fixations: DataFrame, longest: float) -> DataFrame:
+    """Batch: fixations (viewer, object_idx, ts, event_id) to object_idx, fixations, dwell and the longest one, in
+    seconds to the viewer's next fixation, `longest` at most each."""
+    nxt = F.lead("ts").over(W.partitionBy("viewer").orderBy("ts", "event_id"))
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    held = F.least(F.coalesce(seconds(nxt) - seconds(F.col("ts")), F.lit(0.0)), F.lit(float(longest)))
+    return fixations.withColumn("held", held).groupBy("object_idx").agg(F.count("*").alias("fixations"), F.sum("held").alias("dwell"), F.max("held").alias("longest"))
+
+
+def speech_lines(words: DataFrame, gap: float) -> DataFrame:
+    """Batch: words (key, at, end, word) joined to lines (key, begin, end, text) where at most `gap` lies between them."""
+    w = W.partitionBy("key").orderBy("at", "word")
+    new = F.when(F.col("at") - F.lag("end").over(w) <= gap, 0).otherwise(1)
+    lines = words.withColumn("new", new).withColumn("line", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
+    return lines.groupBy("key", "line").agg(F.min("at").alias("begin"), F.max("end").alias("end"), text.alias("text")).drop("line")
+
+
+def votes(boundaries: DataFrame, least: int, gap: float) -> DataFrame:
+    """Batch: boundaries (key, at, feature) that `least` features share within `gap`; close ones are merged to the first."""
+    w = W.partitionBy("key").orderBy("at", "feature")
+    new = F.when(F.col("at") - F.lag("at").over(w) <= gap, 0).otherwise(1)
+    b = boundaries.withColumn("new", new).withColumn("group", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return b.groupBy("key", "group").agg(F.min("at").alias("at"), F.count_distinct("feature").alias("votes")).where(F.col("votes") >= least).drop("group")
