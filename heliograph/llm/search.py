@@ -45,7 +45,7 @@ QUERY_TERMS = 2_000_000
 #: A term in one of so many documents of a shard is kept as a row of a matrix.
 FREQUENT = 16
 #: Queries that a shard scores together, and blocks between two looks at the k-th scores.
-BATCH, STRIDE = 256, 4
+BATCH, STRIDE = 64, 4
 #: One in so many shards is searched first, for scores to start from.
 SAMPLED = 16
 
