@@ -781,4 +781,4 @@ def conversation_chain(spark, d):
 
 
 # The other catalogues register their queries here.
-from . import catalog_feedback  # noqa: E402, F401
+from . import catalog_feedback, catalog_media, catalog_sets  # noqa: E402, F401

@@ -111,3 +111,34 @@ def porter(word: str | None) -> str | None:
     if w.endswith("ll") and _measure(w) > 1:
         w = w[:-1]
     return w
+
+
+def xsd_time(ts: Column) -> Column:
+    """A time as xsd:dateTime in UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def vtt(seconds: Column) -> Column:
+    """Seconds as HH:MM:SS.mmm, as in web subtitles."""
+    ms = F.round(seconds * 1000).cast("long")
+    return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+
+
+def media_duration(seconds: Column) -> Column:
+    """Whole seconds as PTxHxMxS."""
+    s = seconds.cast("long")
+    return F.format_string("PT%dH%dM%dS", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+
+
+def language_by_words(words: Column, stops: dict[str, list[str]]) -> Column:
+    """The language that has most of its stop words among the words, ties to the first by name; null without any."""
+    hits = F.array(*[F.struct((-F.size(F.filter(words, lambda w: w.isin(stops[k])))).alias("n"), F.lit(k).alias("lang")) for k in sorted(stops)])
+    best = F.array_min(hits)
+    return F.when(best["n"] < 0, best["lang"])
+
+
+def word_bag(weights, book):
+    """weights (doc_id, term, weight) and book (term, vec) to doc_id, vec: the weighted sum of the vectors of known words."""
+    x = weights.join(book, "term").select("doc_id", "weight", F.posexplode("vec").alias("i", "x"))
+    s = x.groupBy("doc_id", "i").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
+    return s.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vec"))

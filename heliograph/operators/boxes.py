@@ -51,3 +51,8 @@ def smooth(detections: DataFrame, reach: int) -> DataFrame:
     """detections (parent, at, score) with the mean of `reach` neighbours on either side in time."""
     w = W.partitionBy("parent").orderBy("at").rowsBetween(-reach, reach)
     return detections.withColumn("smoothed", F.avg("score").over(w))
+
+
+def valid(a: str) -> Column:
+    """A box whose sides have length, and whose corners are known."""
+    return F.coalesce((F.col(f"{a}.x1") > F.col(f"{a}.x0")) & (F.col(f"{a}.y1") > F.col(f"{a}.y0")), F.lit(False))

@@ -115,8 +115,12 @@ def bleu(candidates: DataFrame, references: DataFrame, n: int = 4) -> DataFrame:
     """candidates, references: (id, words). id, bleu: the geometric mean of clipped n-gram precisions of 1 to n words,
     times the brevity penalty; 0 where an order has no match or no n-gram."""
 
+    def order(k: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: i <= F.size("words") - (k - 1))
+        return F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.array_join(F.slice("words", i, k), " ").alias("g")))
+
     def grams(df: DataFrame) -> DataFrame:
-        made = [F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i, k=k: i <= F.size("words") - (k - 1)), lambda i, k=k: F.struct(F.lit(k).alias("k"), F.array_join(F.slice("words", i, k), " ").alias("g"))) for k in range(1, n + 1)]
+        made = [order(k) for k in range(1, n + 1)]
         return df.select("id", F.explode(F.concat(*made)).alias("x")).groupBy("id", "x.k", "x.g").agg(F.count("*").alias("n"))
 
     c, r = grams(candidates), grams(references).withColumnRenamed("n", "m")

@@ -98,6 +98,17 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "$type": lambda mask: F.col("type").bitwiseAND(int(mask)) == int(mask),
     "$nchildren": lambda n: F.col("n_children") >= int(n),
     "$frames": lambda n: F.col("frames") >= int(n),
+    "$nkeys": lambda n: F.col("n_keys") >= int(n),
+    "$head": lambda n: F.col("rank") <= int(n),
+    "$date": lambda lo, hi: F.to_date("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")),
+    "$data": lambda i, op, value: {"<": F.element_at("vec", int(i) + 1) < float(value), ">": F.element_at("vec", int(i) + 1) > float(value), "=": F.element_at("vec", int(i) + 1) == float(value)}[op],
+    "$text": lambda word: F.array_contains(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), word.lower()),
+    "$sql": lambda condition: F.expr(condition),
+    "$auxid": lambda *ids: F.col("aux_id").isin(list(ids)),
+    "$masters": lambda: F.col("master_idx") == F.col("object_idx"),
+    "$duplicates": lambda: F.col("master_idx") != F.col("object_idx"),
+    "$children": lambda *idx: F.col("parent_idx").isin([int(i) for i in idx]),
+    "$middleframe": lambda: F.col("frame") == F.floor((F.col("frames") - 1) / 2),
 }
 
 
