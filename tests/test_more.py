@@ -163,7 +163,7 @@ def test_regions_of_pictures(spark):
     labels = [1, 1, 0, 0, 1, 0, 0, 1, 1, 0, 1, 1]
     p = spark.createDataFrame([(4, labels)], "object_idx long, labels array<int>")
     got = sorted((r["region"], r["label"], r["n"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in media.regions(p, 4).collect())
-    assert got[0] == (0, 1, 3, 0, 0, 1, 1) and sum(x[2] for x in got) == 12
+    assert got[0] == (0, 1, 4, 0, 0, 1, 2) and sum(x[2] for x in got) == 12
     seen, want = set(), []
     for i in range(12):
         if i in seen:
