@@ -39,7 +39,7 @@ from .text import columns
 K = 10
 K1, B = 1.2, 0.75
 EVERY = 100
-SHARD_DOCS, SHARD_WORDS = 4096, 2_000_000
+SHARD_DOCS, SHARD_WORDS = 2048, 1_000_000
 BLOCK_DOCS = 64
 QUERY_TERMS = 2_000_000
 #: A term in one of so many documents of a shard is kept as a row of a matrix.
@@ -57,7 +57,7 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """One row per shard: ids, lengths, terms, offsets, postings (local document, term frequency) as packed arrays."""
+    """One row per shard: a number by its content, ids, lengths, terms, offsets, postings (local document, term frequency) as packed arrays."""
 
     def pack(ids: list, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         t = np.concatenate([k for k, _ in parts])
@@ -68,7 +68,8 @@ def build_index(docs: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
         length = np.array([c.sum() for _, c in parts], np.int64)
         arrays = (length, t[first], np.append(first, len(t)).astype(np.int64), doc, tf)
-        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], ["ids", "length", "terms", "offsets", "doc", "tf"])
+        number = xxhash.xxh32_intdigest(doc.tobytes()) >> 1
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([ids], pa.list_(pa.int64())), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], ["number", "ids", "length", "terms", "offsets", "doc", "tf"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, size = [], [], 0
@@ -83,7 +84,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if ids:
             yield pack(ids, parts)
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(run, "ids array<long>, length binary, terms binary, offsets binary, doc binary, tf binary")
+    return columns(docs, doc_id="long", text="string").mapInArrow(run, "number int, ids array<long>, length binary, terms binary, offsets binary, doc binary, tf binary")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -250,7 +251,7 @@ def _hits(index: DataFrame, sent, k: int, mean: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(qid[q]), ids, pa.array(best.score[q, place])], ["query_id", "doc_id", "score"])
 
     # A row is a shard of several MB, so batches of few rows.
-    return index.drop("shard").mapInArrow(run, "query_id long, doc_id long, score double")
+    return index.drop("number").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, index: DataFrame | None = None) -> DataFrame:
@@ -267,7 +268,6 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, index: DataFrame | N
     total = terms.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // QUERY_TERMS))
     weighted = staged(weighted.select("query_id", "term", (idf * F.col("count")).alias("weight"), F.pmod("h", F.lit(blocks)).alias("part")), "search-weights")
-    index = index.withColumn("shard", F.pmod(F.xxhash64("length", "doc"), F.lit(SAMPLED)))
     sampled = index.count() >= 2 * SAMPLED
     ranked = lambda hits: hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())))
     found = []
@@ -279,7 +279,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, index: DataFrame | N
         start = np.zeros(len(ids))
         if sampled:
             # The k-th scores among a share of the shards are reached by all: the other tasks send little below them.
-            first = _hits(index.where("shard = 0"), spark.sparkContext.broadcast((ids, start, *rest)), k, mean)
+            first = _hits(index.where(F.col("number") % SAMPLED == 0), spark.sparkContext.broadcast((ids, start, *rest)), k, mean)
             for r in ranked(first).where(F.col("rank") == k).select("query_id", "score").collect():
                 start[np.searchsorted(ids, r["query_id"])] = r["score"]
         found.append(_hits(index, spark.sparkContext.broadcast((ids, start, *rest)), k, mean))

@@ -243,7 +243,7 @@ def test_cotraining_exchanges_labels_of_all_rows(spark):
     get = {x[0]: (cotraining.content(x[1]), cotraining.metadata(x[3], x[2], x[4])) for x in rows}
     views = cotraining.Views([(*get[i], rows[i][5], i % 4 > 0) for i in range(120)])
     p = {v: {i: float(cotraining._sigmoid(cotraining.Sparse([get[i][v]]).dot(views.w[v][:-1]) + views.w[v][-1])[0]) for i in range(120, 600)} for v in (0, 1)}
-    n = cotraining.exchange(views, d.where("doc_id >= 120").drop("quality"), 2 / 3, "x", 10**6)
+    n = cotraining.exchange(views, d.drop("quality"), d.where("doc_id < 120"), 2 / 3, "x", 10**6)
     for v in (0, 1):
         assert set(views.taught[1 - v]) == {i for i, x in p[v].items() if x >= 0.9 or x <= 0.1}
         assert all(label == (p[v][i] > 0.5) for i, (_, _, label) in views.taught[1 - v].items())
@@ -313,7 +313,7 @@ def test_pivots_pass_over_blocks(monkeypatch):
     doc = np.repeat(np.arange(400, dtype=np.int32), [len(d[0]) for d in docs])
     order = np.argsort(t, kind="stable")
     terms, first = np.unique(t[order], return_index=True)
-    row = {"ids": list(range(400)), "length": np.array([d[1].sum() for d in docs], np.int64).tobytes(), "terms": terms.tobytes(), "offsets": np.append(first, len(t)).astype(np.int64).tobytes(), "doc": doc[order].tobytes(), "tf": tf[order].astype(np.int32).tobytes()}
+    row = {"number": 0, "ids": list(range(400)), "length": np.array([d[1].sum() for d in docs], np.int64).tobytes(), "terms": terms.tobytes(), "offsets": np.append(first, len(t)).astype(np.int64).tobytes(), "doc": doc[order].tobytes(), "tf": tf[order].astype(np.int32).tobytes()}
     shard = search.Shard(row, 22.0)
     query, weights = search.term_counts("rare common")[0], np.array([3.0, 0.01])
     at = np.searchsorted(terms, query)
