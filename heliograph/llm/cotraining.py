@@ -190,9 +190,10 @@ def _hash(seed: str):
     return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
 
 
-def exchange(views: Views, unlabelled: DataFrame, good: float, seed: str, exchanged: int = EXCHANGED) -> int:
-    """One round: each view's surest rows of the whole table become the other's labels. How many it was."""
-    sent = unlabelled.sparkSession.sparkContext.broadcast(views.w)
+def exchange(views: Views, docs: DataFrame, marked: DataFrame, good: float, seed: str, exchanged: int = EXCHANGED) -> int:
+    """One round: rows of the whole table, those that are marked (doc_id) aside, of which a view is sure become the
+    other's labels. How many it was. All rows are scored where they lie; only ids and scores meet the marks."""
+    sent = docs.sparkSession.sparkContext.broadcast(views.w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
@@ -203,16 +204,17 @@ def exchange(views: Views, unlabelled: DataFrame, good: float, seed: str, exchan
                 p = [_sigmoid(Sparse([g[v] for g in got]).dot(w[v][:-1]) + w[v][-1]) for v in (0, 1)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p[0]), pa.array(p[1])], ["doc_id", "p0", "p1"])
 
-    scored = staged(unlabelled.mapInArrow(run, "doc_id long, p0 double, p1 double"), "cotraining-round")
+    scored = staged(docs.mapInArrow(run, "doc_id long, p0 double, p1 double"), "cotraining-round").join(marked.select("doc_id").hint("merge"), "doc_id", "left_anti")
     # what = 2 * view + label, for the rows that a view is sure of
     sure = scored.select("doc_id", F.explode(F.array(*[F.when(F.col(f"p{v}") >= SURE, 2 * v + 1).when(F.col(f"p{v}") <= 1 - SURE, 2 * v) for v in (0, 1)])).alias("what")).where("what is not null")
+    sure = staged(sure, "cotraining-sure")
     sizes = {r["what"]: r["n"] for r in sure.groupBy("what").agg(F.count("*").alias("n")).collect()}
     rate = F.lit(0.0)
     for what, n in sizes.items():
         rate = F.when(F.col("what") == what, min(1.0, exchanged * (good if what % 2 else 1 - good) / n)).otherwise(rate)
     chosen = sure.where(_hash(seed) < rate).distinct()
     n = 0
-    for doc, what, a, m in _drawn(unlabelled, chosen):
+    for doc, what, a, m in _drawn(docs, chosen):
         view, label = divmod(what, 2)
         n += doc not in views.taught[1 - view]
         views.taught[1 - view][doc] = (a, m, label)
@@ -235,10 +237,9 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, rounds: int = ROUN
     if len({r[2] for r in rows if r[3]}) < 2:
         return fine / (bad + fine)
     views = Views(rows)
-    unlabelled = d.join(marked.select("doc_id"), "doc_id", "left_anti")
     good = min(0.99, max(0.01, sum(r[2] for r in views.rows) / len(views.rows)))
     for k in range(rounds):
-        exchange(views, unlabelled, good, f"round {k}")
+        exchange(views, d, marked, good, f"round {k}")
     views.finish()
     return views
 
