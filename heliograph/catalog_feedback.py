@@ -96,7 +96,7 @@ _BOTTOM = {
     "mul": "CASE WHEN min(coalesce(value, 0)) > 0 THEN product(coalesce(value, 0)) ELSE 0 END",
 }
 for _h, _s in _BOTTOM.items():
-    query(f"WITH {_HITS_SQL} SELECT m.o AS object_idx, round({_s}, 7) AS value FROM m LEFT JOIN c USING (feature, x, y) GROUP BY m.o", f"bottom_score_{_h}")(lambda spark, d, h=_h: feedback.bottom_scores(_grid(spark, d), _maps(spark, d), how=h).withColumn("value", F.round("value", 7)))
+    query(f"WITH {_HITS_SQL} SELECT m.o AS object_idx, round({_s}, 7) + 0.0 AS value FROM m LEFT JOIN c USING (feature, x, y) GROUP BY m.o", f"bottom_score_{_h}")(lambda spark, d, h=_h: feedback.bottom_scores(_grid(spark, d), _maps(spark, d), how=h).withColumn("value", F.round("value", 7) + 0.0))
 
 
 @query(f"WITH {_HITS_SQL}, {_TOTALS} SELECT m.o AS object_idx, round(sum((coalesce(pos / P, 0) + 0.5 * 7921 / 23409) / (coalesce(neg / N, 0) + 0.5 * 7921 / 23409)), 6) AS value FROM m LEFT JOIN u USING (feature, x, y) LEFT JOIN t USING (feature) GROUP BY m.o")

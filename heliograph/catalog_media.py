@@ -34,15 +34,16 @@ def picture_moments(spark, d):
 @query(f"""WITH {_PIXELS}, n AS (SELECT a.o, a.i, [round(abs(r.v - a.v), 9), round(abs(b.v - a.v), 9), round(abs(e.v - a.v), 9), round(abs(w.v - a.v), 9)] AS f FROM p a JOIN p r ON r.o = a.o AND r.i = a.i + 1 JOIN p b ON b.o = a.o AND b.i = a.i + 8 JOIN p e ON e.o = a.o AND e.i = a.i + 9 JOIN p w ON w.o = a.o AND w.i = a.i + 7 WHERE a.i % 8 BETWEEN 1 AND 6 AND a.i < 56)
 SELECT o AS object_idx, count(*) FILTER (k = 1) AS across, count(*) FILTER (k = 2) AS down, count(*) FILTER (k = 3) AS falling, count(*) FILTER (k = 4) AS rising FROM (SELECT o, list_position(f, list_max(f)) AS k FROM n WHERE list_max(f) > 0) GROUP BY o""")
 def picture_edges(spark, d):
-    h = _pictures(spark, d).select("object_idx", media.edge_histogram(F.col("pixels"), 8, 8).alias("h"))
-    return h.select("object_idx", *[F.col("h")[k].cast("long").alias(n) for k, n in enumerate(("across", "down", "falling", "rising"))])
+    e = _pictures(spark, d).select("object_idx", F.explode(media.edge_directions(F.col("pixels"), 8, 8)).alias("k"))
+    return e.groupBy("object_idx").agg(*[F.count_if(F.col("k") == k).alias(n) for k, n in enumerate(("across", "down", "falling", "rising"), 1)])
 
 
 @query(f"""WITH {_PIXELS}, q AS (SELECT o, i, greatest(0, least(3, floor((v + 0.25) * 8)))::INT AS v FROM p), c AS (SELECT a.o, a.v AS a, b.v AS b, count(*) AS n FROM q a JOIN q b ON a.o = b.o AND b.i = a.i + 1 WHERE a.i % 8 < 7 GROUP BY ALL)
 SELECT o AS object_idx, round(sum(n * (a - b) * (a - b)) / 56, 8) AS contrast, round(sum(n * n) / 3136.0::DOUBLE, 8) AS energy FROM c GROUP BY o""")
 def picture_texture(spark, d):
     levels = F.transform("pixels", lambda v: F.greatest(F.lit(0), F.least(F.lit(3), F.floor((v + 0.25) * 8))).cast("int"))
-    t = _pictures(spark, d).select("object_idx", media.cooccurrence(levels, 8, 8, 4).alias("t"))
+    t = _pictures(spark, d).select("object_idx", levels.alias("levels")).select("object_idx", media.neighbour_levels(F.col("levels"), 8, 8, 4).alias("pairs"))
+    t = t.select("object_idx", media.cooccurrence(F.col("pairs"), 4).alias("t"))
     return t.select("object_idx", F.round("t.contrast", 8).alias("contrast"), F.round("t.energy", 8).alias("energy"))
 
 

@@ -38,24 +38,26 @@ def colour_moments(pixels: Column) -> Column:
     return F.struct(mean.alias("mean"), F.sqrt(central(2)).alias("deviation"), F.cbrt(central(3)).alias("skew"))
 
 
-def edge_histogram(pixels: Column, width: int, height: int) -> Column:
-    """How often the strongest of the four differences to the right, below, and along either diagonal leads (ties to the
-    first), over the pixels that have all these neighbours and any difference."""
-    inner = F.filter(F.sequence(F.lit(0), F.lit(width * (height - 1) - 1)), lambda i: (i % width > 0) & (i % width < width - 1))
-    diff = lambda i, k: F.round(F.abs(F.get(pixels, i + k) - F.get(pixels, i)), 9)
-    lead = F.transform(inner, lambda i: F.array(*[diff(i, k) for k in (1, width, width + 1, width - 1)]))
-    lead = F.transform(F.filter(lead, lambda v: F.array_max(v) > 0), lambda v: F.array_position(v, F.array_max(v)))
-    return F.array(*[F.size(F.filter(lead, lambda p: p == F.lit(k))) for k in range(1, 5)])
-
-
-def cooccurrence(pixels: Column, width: int, height: int, levels: int) -> Column:
-    """Contrast and energy of the levels (0 to levels - 1) of horizontal neighbours."""
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: i % width < width - 1), lambda i: F.get(pixels, i) * levels + F.get(pixels, i + 1))
-    n = float((width - 1) * height)
-    contrast = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.pow(F.floor(p / levels) - p % levels, F.lit(2.0))) / n
-    share = lambda c: F.size(F.filter(pairs, lambda p: p == c)) / n
-    energy = V.total(F.transform(F.array_distinct(pairs), lambda c: share(c) * share(c)))
-    return F.struct(contrast.alias("contrast"), energy.alias("energy"))
+def edge_directions(pixels: Column, width: int, height: int) -> Column:
+    """Which of the four differences to the right, below, and along either diagonal is strongest (1 to 4, ties to the
+    first), for the pixels that have all these neighbours and any difference."""
+    inner = [i for i in range(width * (height - 1)) if 0 < i % width < width - 1]
+    diff = lambda i, k: F.round(F.abs(F.get(pixels, F.lit(i + k)) - F.get(pixels, F.lit(i))), 9)
+    lead = F.array(*[F.array(*[diff(i, k) for k in (1, width, width + 1, width - 1)]) for i in inner])
+    return F.filter(F.transform(lead, lambda v: F.when(F.array_max(v) > 0, F.array_position(v, F.array_max(v)))), lambda p: p.isNotNull())
+
+
+def neighbour_levels(levels: Column, width: int, height: int, n: int) -> Column:
+    """left * n + right for all horizontal neighbours of levels from 0 to n - 1."""
+    return F.array(*[F.get(levels, F.lit(i)) * n + F.get(levels, F.lit(i + 1)) for i in range(width * height) if i % width < width - 1])
+
+
+def cooccurrence(pairs: Column, n: int) -> Column:
+    """Contrast and energy of neighbour_levels, which are best a column of their own."""
+    size = F.size(pairs).cast("double")
+    contrast = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.pow(F.floor(p / n) - p % n, F.lit(2.0))) / size
+    share = lambda c: F.size(F.filter(pairs, lambda p: p == c)) / size
+    return F.struct(contrast.alias("contrast"), V.total(F.transform(F.array_distinct(pairs), lambda c: share(c) * share(c))).alias("energy"))
 
 
 def local_binary_patterns(pixels: Column, width: int, height: int) -> Column:
