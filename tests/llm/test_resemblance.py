@@ -1,10 +1,13 @@
 """The pipeline's near-duplicate stage against brute force."""
 
+import os
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from heliograph import runtime
 from heliograph.llm import resemblance, simhash
 
 SCHEMA = "doc_id long, text string"
@@ -55,3 +58,59 @@ def test_surviving_rows_of_odd_ids(spark, monkeypatch, hot):
     rows = [(None, a), (None, a), (None, b), (1, b), (2, c), (2, d), (3, e), (4, "x " + d), (4, e), (5, "y " + c)]
     near = [(2, c), (2, d), (1, b), (3, e), (None, a)]
     assert sorted(map(repr, (tuple(x) for x in dedup(spark.createDataFrame(rows, SCHEMA)).collect()))) == sorted(map(repr, near))
+
+
+def test_parities_bound_the_difference():
+    """Never more places than members, for sets of any two sizes, and nearly always enough to rule unlike sets out."""
+    r = np.random.default_rng(5)
+    ruled = tried = 0
+    for n in (1, 2, 63, 64, 65, 200, 1000, 5000):
+        for share in (0.0, 0.3, 0.6, 0.9, 1.0):
+            for m in (n, max(1, n * 4 // 5), 3 * n):
+                a = np.unique(r.integers(-(2**63), 2**63, n))
+                b = np.unique(np.concatenate([a[: int(share * min(n, m))], r.integers(-(2**63), 2**63, m - int(share * min(n, m)))]))
+                differ = resemblance.differ(resemblance.parities(a), resemblance.parities(b))
+                exact = len(np.setxor1d(a, b))
+                assert differ <= exact and (differ - exact) % 2 == 0
+                if n >= 200 and share <= 0.6:
+                    tried, ruled = tried + 1, ruled + (9 * differ > len(a) + len(b))
+    assert ruled == tried
+
+
+@pytest.mark.parametrize("sent", [10**6, -1])
+def test_only_likely_pairs_move_their_sets(spark, monkeypatch, sent):
+    """Texts that share a rare passage, but little else, meet; their whole sets stay where they are, and no large table outlives its use."""
+    monkeypatch.setattr(resemblance, "SENT", sent)
+    monkeypatch.setattr(resemblance, "COMMON", 10**9)
+    moved = []
+
+    def staged(df, name):
+        out = runtime.staged(df, name)
+        if name == "similar-sets":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(resemblance, "staged", staged)
+    r = random.Random(4)
+    w = [f"word{i}" for i in range(4000)]
+    passage = " ".join(r.choice(w) for _ in range(60))
+    rows = [f"{passage} " + " ".join(r.choice(w) for _ in range(150)) for _ in range(60)]
+    rows += [edited(r, w, rows[0], 2)]
+    docs = spark.createDataFrame(list(enumerate(rows)), SCHEMA)
+    folder = runtime.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert sorted(x["doc_id"] for x in simhash.near_dedup(docs).collect()) == list(range(60))
+    assert moved[0] == 2 and sum(moved) <= 4
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert not left & {"similar-prefix", "similar-met", "similar-placed", "similar-open", "similar-sets"}
+
+
+def test_shuffle_files_go_with_a_staged_write(spark):
+    """The session's setting stays as it was, and the write leaves no shuffle files to a later collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    seen = []
+    with runtime.tidy(spark):
+        seen.append(spark.conf.get(key))
+    assert seen == ["true"] and spark.conf.get(key, None) == before
+    assert runtime.staged(spark.range(1000).repartition(7, "id"), "tidy").count() == 1000
