@@ -42,10 +42,10 @@ EVERY = 100
 SHARD_DOCS, SHARD_WORDS = 2048, 1_000_000
 BLOCK_DOCS = 64
 QUERY_TERMS = 2_000_000
-#: A term in one of so many documents of a shard is kept as a row of a matrix.
+#: A term in one of so many documents of a shard is kept as a column of a matrix.
 FREQUENT = 16
 #: Queries that a shard scores together, and blocks between two looks at the k-th scores.
-BATCH, STRIDE = 64, 4
+BATCH, STRIDE = 64, 8
 #: One in so many shards is searched first, for scores to start from.
 SAMPLED = 16
 
@@ -154,94 +154,102 @@ class Shard:
         length = np.frombuffer(row["length"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.offsets = np.frombuffer(row["offsets"], np.int64)
-        self.doc = np.frombuffer(row["doc"], np.int32)
+        self.doc = np.frombuffer(row["doc"], np.int32).astype(np.int64)
         tf = np.frombuffer(row["tf"], np.int32).astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / max(mean, 1e-9)))[self.doc])
         self.blocks = max(1, -(-len(self.ids) // BLOCK_DOCS))
         wide = self.blocks * BLOCK_DOCS
-        # Terms in many of the documents as rows of a matrix, with their best impact in each block.
+        # Terms in many of the documents as columns of a matrix, with their best impact in each block.
         n = np.diff(self.offsets)
         often = np.flatnonzero(n >= max(2, wide // FREQUENT))
         self.row = np.full(len(self.terms), -1)
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), wide))
+        self.dense = np.zeros((wide, len(often)))
         for r, t in enumerate(often):
             mine = slice(self.offsets[t], self.offsets[t + 1])
-            self.dense[r, self.doc[mine]] = self.impact[mine]
-        self.best = self.dense.reshape(len(often), self.blocks, BLOCK_DOCS).max(2) if len(often) else np.zeros((0, self.blocks))
-        self.scored = 0
+            self.dense[self.doc[mine], r] = self.impact[mine]
+        self.best = self.dense.reshape(self.blocks, BLOCK_DOCS, len(often)).max(1).T
+        self.single = np.ascontiguousarray(self.dense.T, np.float32)
+        #: Blocks of queries that were pivots, and documents that were scored in full.
+        self.scored = self.full = 0
 
     def top(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, best: Best, at: int) -> None:
         """Adds the hits of a batch of queries, numbered from 0 (from `at` in best), with a weight for each (query, term).
 
-        The sum over a query's terms of the best impact that each has in a block
-        bounds every document of the block. A query's cursors move on, in document
-        order, to the next pivot: the next block whose bound reaches the query's
-        k-th score. Postings in between are never read, and the k-th score rises
-        with what the pivots hold. (The bound over whole postings lists, by which
-        plain WAND finds pivots, is never less than that of the block, so the
-        block's alone decides.)
+        What a query's rare terms give to each document, plus the sum of the best impact
+        that each frequent term has in a block, bounds every document of the block. A
+        query's cursors move on, in document order, to the next pivot: the next block
+        whose bound reaches the query's k-th score, which rises with what the pivots
+        hold. (The bound over whole postings lists, by which plain WAND finds pivots, is
+        never less than that of the block, so the block's alone decides.) Frequent terms
+        are added in single precision first: as all terms are positive, the error is
+        below (terms + 8) / 2^24 of their sum, and only documents that may reach the k-th
+        score within it are scored in full.
         """
-        row = self.row[term]
+        row, wide = self.row[term], self.blocks * BLOCK_DOCS
         rare = np.flatnonzero(row < 0)
         start = self.offsets[term[rare]]
         n = self.offsets[term[rare] + 1] - start
-        which = np.repeat(rare, n)
-        post = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-        value, doc, owner = self.impact[post] * weight[which], self.doc[post], query[which]
-        block = doc // BLOCK_DOCS
-        w = np.zeros((queries, len(self.dense)))
+        post = np.arange(n.sum())
+        post += np.repeat(start - (np.cumsum(n) - n), n)
+        value = self.impact[post]
+        value *= np.repeat(weight[rare], n)
+        place = self.doc[post]
+        place += np.repeat(query[rare] * wide, n)
+        exact = np.bincount(place, value, queries * wide).reshape(queries, wide)
+        w = np.zeros((queries, len(self.single)))
         often = row >= 0
         w[query[often], row[often]] = weight[often]
-        bound = w @ self.best
-        if len(post):
-            piece = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (block[1:] != block[:-1])]))
-            most = np.maximum.reduceat(value, piece)
-            bound += np.bincount(owner[piece] * self.blocks + block[piece], most, queries * self.blocks).reshape(bound.shape)
-        order = np.argsort(block, kind="stable")
-        value, doc, owner = value[order], doc[order], owner[order]
-        edge = np.searchsorted(block[order], np.arange(self.blocks + 1))
+        light = w.astype(np.float32)
+        slack = 1 + (len(self.single) + 8) * 2.0**-23
+        bound = w @ self.best + exact.reshape(queries, self.blocks, BLOCK_DOCS).max(2)
         least = best.least[at : at + queries]
-        place = np.full(queries, -1)
         for stride in range(0, self.blocks, STRIDE):
-            found: list[tuple] = []
             live = (bound[:, stride : stride + STRIDE] > 0) & (bound[:, stride : stride + STRIDE] + 2e-6 >= least[:, None])
-            for b in stride + np.flatnonzero(live.any(0)):
-                q = np.flatnonzero(live[:, b - stride])
-                self.scored += len(q)
-                here = slice(b * BLOCK_DOCS, (b + 1) * BLOCK_DOCS)
-                scores = w[q] @ self.dense[:, here]
-                place[q] = np.arange(len(q))
-                own = place[owner[edge[b] : edge[b + 1]]]
-                mine = own >= 0
-                scores += np.bincount(own[mine] * BLOCK_DOCS + doc[edge[b] : edge[b + 1]][mine] % BLOCK_DOCS, value[edge[b] : edge[b + 1]][mine], scores.size).reshape(scores.shape)
-                place[q] = -1
-                scores = np.round(scores, 6)
-                r, d = np.nonzero((scores > 0) & (scores >= np.round(least[q], 6)[:, None]))
-                found.append((q[r], scores[r, d], b * BLOCK_DOCS + d))
-            if found and sum(len(f[0]) for f in found):
-                q, s, d = (np.concatenate(x) for x in zip(*found))
-                best.add(at + q, s, self.no[d], self.ids[d])
+            self.scored += int(live.sum())
+            q = np.flatnonzero(live.any(1))
+            if not len(q):
+                continue
+            here = slice(stride * BLOCK_DOCS, (stride + STRIDE) * BLOCK_DOCS)
+            high = light[q] @ self.single[:, here] * slack + exact[q, here]
+            floor = least[q]
+            reach = (high > 0) & (high + 2e-6 >= floor[:, None])
+            many = np.flatnonzero(reach.sum(1) > 4 * best.k)
+            if len(many):  # the k-th of these documents is reached too, whatever the error
+                kth = np.partition(high[many], -best.k, 1)[:, -best.k]
+                floor[many] = np.maximum(floor[many], kth / slack**2 - 2e-6)
+                reach[many] &= high[many] + 2e-6 >= floor[many, None]
+            r, d = np.nonzero(reach)
+            if not len(r):
+                continue
+            q, d = q[r], d + stride * BLOCK_DOCS
+            self.full += len(q)
+            scores = np.round(exact[q, d] + np.einsum("ij,ij->i", w[q], self.dense[d]), 6)
+            keep = (scores > 0) & (scores >= np.round(least[q], 6))
+            q, d, scores = q[keep], d[keep], scores[keep]
+            if len(q):
+                best.add(at + q, scores, self.no[d], self.ids[d])
 
 
 def _hits(index: DataFrame, sent, k: int, mean: float) -> DataFrame:
     """query_id, doc_id, score: what the tasks' shards hold of each query's best k, k rows a query and task at most.
 
-    sent: the broadcast queries, (ids, start) of each and (number, term, weight) of their terms. A task keeps its
+    sent: the broadcast queries, (ids, start) of each, the distinct terms, and (number, place of the term, weight) of their terms. A task keeps its
     best over all its shards, so every shard starts from the scores of the ones before it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, start, number, term, weight = sent.value
+        qid, start, distinct, number, which, weight = sent.value
         best = Best(start, k)
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard(batch.slice(i, 1).to_pylist()[0], mean)
-                if not len(shard.terms) or not len(qid):
+                if not len(shard.terms) or not len(distinct):
                     continue
-                at = np.minimum(np.searchsorted(shard.terms, term), len(shard.terms) - 1)
-                have = np.flatnonzero(shard.terms[at] == term)
-                q, at, w = number[have], at[have], weight[have]
+                at = np.minimum(np.searchsorted(shard.terms, distinct), len(shard.terms) - 1)
+                at = np.where(shard.terms[at] == distinct, at, -1).astype(np.int32)[which]
+                have = np.flatnonzero(at >= 0)
+                q, at, w = number[have].astype(np.int64), at[have].astype(np.int64), weight[have]
                 cut = np.searchsorted(q, np.arange(0, len(qid) + BATCH, BATCH))
                 for j, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
                     if a < b:
@@ -275,7 +283,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, index: DataFrame | N
         own = weighted.where(F.col("part") == part).select("query_id", "term", "weight").orderBy("query_id", "term").toArrow()
         qid = own.column("query_id").to_numpy()
         ids, number = np.unique(qid, return_inverse=True)
-        rest = (number, own.column("term").to_numpy().view(np.uint64), own.column("weight").to_numpy())
+        distinct, which = np.unique(own.column("term").to_numpy().view(np.uint64), return_inverse=True)
+        rest = (distinct, number.astype(np.int32), which.astype(np.int32), own.column("weight").to_numpy())
         start = np.zeros(len(ids))
         if sampled:
             # The k-th scores among a share of the shards are reached by all: the other tasks send little below them.
