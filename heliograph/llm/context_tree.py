@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import staged, table
+from ..runtime import staged, table, trim
 from .lookup import Lookup
 from .text import columns, fold
 
@@ -120,6 +120,7 @@ def counts(docs: DataFrame) -> DataFrame:
         for kind in (0, 1):
             if held[kind]:
                 yield out(kind)
+        trim()
 
     return docs.select("text").mapInArrow(run, "word boolean, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
 
@@ -153,8 +154,11 @@ def estimates(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         total = np.add.reduceat(n, first).astype(np.float64)
         here = np.repeat(total, np.diff(np.append(first, len(keys))))
+        del node
         if bits:
-            log_p += np.log((here + 0.5) / (above + 1))
+            above += 1
+            np.divide(here + 0.5, above, out=above)
+            log_p += np.log(above, out=above)
             block += np.bincount(owner[first], lgamma(total + 0.5) - half, len(starts))
         if bits < 8:
             block -= np.bincount(owner[first], lgamma(total + 1), len(starts))
@@ -173,18 +177,18 @@ class Tree:
         self.contexts: dict[int, np.ndarray] = {}
         self.own: dict[int, np.ndarray] = {}
         weighted = longer = None
-        p = {}
-        at = {DEPTH: np.arange(len(keys))}
+        at = np.arange(len(keys), dtype=np.int32)  # the place of each key's run among those of this depth
         for d in range(DEPTH, least - 1, -1):
             if d < DEPTH:
                 short = self.keys[d + 1] & _U((1 << 8 * (d + 1)) - 1)
                 k, back = np.unique(short, return_inverse=True)
                 n = np.bincount(back, n, len(k)).astype(np.int64)
-                at[d] = back[at[d + 1]]
+                at = back.astype(np.int32)[at]
+                del short, back
             else:
                 k = keys
             self.keys[d], self.sums[d] = k, np.concatenate([[0], np.cumsum(n)])
-            p[d], starts, block = estimates(k, n)
+            p, starts, block = estimates(k, n)
             ctx = k[starts] >> _U(8)
             self.contexts[d] = ctx
             if d < DEPTH:
@@ -193,16 +197,21 @@ class Tree:
                 weighted = np.logaddexp(block, split) - math.log(2)
                 self.own[d] = np.exp(np.minimum(0, block - math.log(2) - weighted))
                 which = np.repeat(np.arange(len(ctx)), np.diff(np.append(starts, len(k))))
-                w = self.own[d][which[at[d]]]
-                mix = w * p[d][at[d]] + (1 - w) * mix
+                w = self.own[d][which[at]]
+                mix *= 1 - w
+                w *= p[at]
+                mix += w
+                del which, w
             else:
                 weighted, self.own[d] = block, np.ones(len(ctx))
-                mix = p[d]
+                mix = p
             longer = ctx
         #: By context of `least` bytes: the logarithm of its weighted probability.
         self.weighted = weighted
+        mix = mix.astype(np.float32)
+        del at, p
         self.table = Lookup(keys)
-        self.p = mix[self.table.order].astype(np.float32)
+        self.p = mix[self.table.order]
         del self.table.order
 
     def _estimate(self, d: int, q: np.ndarray) -> np.ndarray:
@@ -321,6 +330,7 @@ class Scorer:
         self.tree = Tree(k, n)
         self.words, self.n = Lookup(wk, spread=False), wn
         self.unknown = math.log10(0.1 / (self.total + 0.1 * (self.distinct + 1)))
+        trim()  # what building it took, some 150 MB for 4 million rows, would stay with the worker
 
     def score(self, ws: list[list[bytes]]) -> tuple[np.ndarray, ...]:
         """Per text, over what this shard decides: known tokens, base, score."""
@@ -378,6 +388,7 @@ def score(docs: DataFrame, folds: int = 10, shard: int = SHARD) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
             if name not in _built:
                 _built.clear()
+                trim()
                 _built[name] = Scorer(sent.value)
             scorer = _built[name]
             for batch in batches:

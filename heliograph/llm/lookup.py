@@ -23,9 +23,9 @@ class Lookup:
         """spread=False: the keys are evenly spread hashes, and sorted; then they are used as they are."""
         self.spread = spread
         if spread:
-            m = mixed(keys)
-            self.order = np.argsort(m)
-            self.keys = m[self.order]
+            self.keys = mixed(keys)
+            self.order = np.argsort(self.keys)
+            self.keys = self.keys[self.order]
         else:
             self.keys = keys
         bits = max(1, int(len(keys)).bit_length())
