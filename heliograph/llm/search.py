@@ -12,7 +12,9 @@ where shards are many, one in SAMPLED of them is searched first for the scores
 that all tasks start from. The best k of all tasks' best k are exact.
 
 Queries go out in blocks of at most QUERY_TERMS distinct terms in all; the index
-is written once to the shared folder and read for each block.
+is written once to the shared folder and read for each block. A shard is the
+unit of its pages and batches, so no step holds more than a few of them, however
+many there are in a file.
 
 Ranks follow the score rounded to 6 places, then the id. Defined results: null
 and empty texts match nothing, as documents and as queries, and count as
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..runtime import staged, table
+from ..runtime import WIDE, batches, staged, table, unstage
 from .text import columns
 
 K = 10
@@ -46,6 +48,8 @@ QUERY_TERMS = 2_000_000
 FREQUENT = 16
 #: Queries that a shard scores together, and blocks between two looks at the k-th scores.
 BATCH, STRIDE = 64, 8
+#: Documents that a worker is sent at once. Of the index it is sent one row, a shard of some MB.
+SENT = 512
 #: One in so many shards is searched first, for scores to start from.
 SAMPLED = 16
 
@@ -71,9 +75,9 @@ def build_index(docs: DataFrame) -> DataFrame:
         number = xxhash.xxh32_intdigest(doc.tobytes()) >> 1
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([ids], pa.list_(pa.int64())), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], ["number", "ids", "length", "terms", "offsets", "doc", "tf"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, size = [], [], 0
-        for batch in batches:
+        for batch in rows:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids.append(i)
                 parts.append(term_counts(t.as_py()))
@@ -90,8 +94,8 @@ def build_index(docs: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, terms, counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
             got = [term_counts(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[i].astype(np.uint64).view(np.int64).tolist() for x in got], pa.list_(pa.int64())) for i in (0, 1)]], ["query_id", "terms", "counts"])
 
@@ -101,23 +105,26 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def statistics(index: DataFrame, terms: DataFrame) -> tuple[int, float, DataFrame]:
     """Documents, their mean length, and (term, df) of the queries' terms."""
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sizes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = total = 0
-        for b in batches:
+        for b in rows:
             for x in b.column(0):
                 length = np.frombuffer(x.as_py(), np.int64)
                 n, total = n + len(length), total + int(length.sum())
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], ["n", "total"])
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def frequencies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
             for t, o in zip(b.column(0), b.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t.as_py(), np.int64)), pa.array(np.diff(np.frombuffer(o.as_py(), np.int64)))], ["term", "df"])
 
-    r = index.select("length").mapInArrow(sizes, "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    with batches(index.sparkSession, 1):
+        r = index.select("length").mapInArrow(sizes, "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     wanted = terms.select(F.explode("terms").alias("term")).distinct()
     df = index.select("terms", "offsets").mapInArrow(frequencies, "term long, df long").join(wanted.hint("merge"), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-    return r["n"] or 0, (r["total"] or 0) / max(1, r["n"] or 0), staged(df, "search-df")
+    with batches(index.sparkSession, 1):
+        df = staged(df, "search-df")
+    return r["n"] or 0, (r["total"] or 0) / max(1, r["n"] or 0), df
 
 
 class Best:
@@ -234,40 +241,43 @@ class Shard:
 def _hits(index: DataFrame, sent, k: int, mean: float) -> DataFrame:
     """query_id, doc_id, score: what the tasks' shards hold of each query's best k, k rows a query and task at most.
 
-    sent: the broadcast queries, (ids, start) of each, the distinct terms, and (number, place of the term, weight) of their terms. A task keeps its
+    sent: the broadcast queries, (ids, start) of each, the distinct terms, and (number, place of the term, weight) of their terms, by number. A task keeps its
     best over all its shards, so every shard starts from the scores of the ones before it.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, start, distinct, number, which, weight = sent.value
         best = Best(start, k)
-        for batch in batches:
+        cut = np.searchsorted(number, np.arange(0, len(qid) + BATCH, BATCH))
+        for batch in rows:
             for i in range(batch.num_rows):
                 shard = Shard(batch.slice(i, 1).to_pylist()[0], mean)
                 if not len(shard.terms) or not len(distinct):
                     continue
                 at = np.minimum(np.searchsorted(shard.terms, distinct), len(shard.terms) - 1)
-                at = np.where(shard.terms[at] == distinct, at, -1).astype(np.int32)[which]
-                have = np.flatnonzero(at >= 0)
-                q, at, w = number[have].astype(np.int64), at[have].astype(np.int64), weight[have]
-                cut = np.searchsorted(q, np.arange(0, len(qid) + BATCH, BATCH))
+                place = np.where(shard.terms[at] == distinct, at, -1)
                 for j, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-                    if a < b:
-                        shard.top(q[a:b] - j * BATCH, at[a:b], w[a:b], min(BATCH, len(qid) - j * BATCH), best, j * BATCH)
+                    at = place[which[a:b]]
+                    have = np.flatnonzero(at >= 0)
+                    if len(have):
+                        shard.top(number[a:b][have] - np.int64(j * BATCH), at[have], weight[a:b][have], min(BATCH, len(qid) - j * BATCH), best, j * BATCH)
         q, place = np.nonzero(best.score > 0)
         ids = pa.array(best.id[q, place], mask=best.no[q, place] > 0)
         yield pa.RecordBatch.from_arrays([pa.array(qid[q]), ids, pa.array(best.score[q, place])], ["query_id", "doc_id", "score"])
 
-    # A row is a shard of several MB, so batches of few rows.
     return index.drop("number").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, index: DataFrame | None = None) -> DataFrame:
     """query_id, rank, doc_id, score: the best k documents for each query (doc_id, text)."""
     spark = docs.sparkSession
-    index = staged(build_index(docs), "search-index") if index is None else index
+    given = index
+    if given is None:
+        with batches(spark, SENT):
+            index = staged(build_index(docs), "search-index", **WIDE)
     own = columns(queries, doc_id="long", text="string").where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    terms = staged(query_terms(own), "search-queries").withColumn("n", F.size("terms"))
+    with batches(spark, SENT):
+        terms = staged(query_terms(own), "search-queries").withColumn("n", F.size("terms"))
     n, mean, df = statistics(index, terms)
     # Queries in blocks: a running count of terms, over partitions and then within each.
     weighted = terms.where("n > 0").select("query_id", F.posexplode("terms").alias("i", "term"), "counts", F.xxhash64("query_id").alias("h"))
@@ -288,10 +298,19 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, index: DataFrame | N
         start = np.zeros(len(ids))
         if sampled:
             # The k-th scores among a share of the shards are reached by all: the other tasks send little below them.
-            first = _hits(index.where(F.col("number") % SAMPLED == 0), spark.sparkContext.broadcast((ids, start, *rest)), k, mean)
+            sent = spark.sparkContext.broadcast((ids, start, *rest))
+            with batches(spark, 1):
+                first = staged(_hits(index.where(F.col("number") % SAMPLED == 0), sent, k, mean), "search-sample")
+            sent.destroy()
             for r in ranked(first).where(F.col("rank") == k).select("query_id", "score").collect():
                 start[np.searchsorted(ids, r["query_id"])] = r["score"]
-        found.append(_hits(index, spark.sparkContext.broadcast((ids, start, *rest)), k, mean))
+            unstage(first)
+        sent = spark.sparkContext.broadcast((ids, start, *rest))
+        with batches(spark, 1):
+            found.append(staged(_hits(index, sent, k, mean), "search-hits"))
+        sent.destroy()
+    for x in (terms, df, weighted, *([index] if given is None else [])):
+        unstage(x)
     hits = found[0]
     for f in found[1:]:
         hits = hits.unionByName(f)

@@ -37,29 +37,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """What runs here loses its shuffle files as it ends, not when the driver happens to collect its garbage."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def configured(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """What is planned and run here has these settings."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def tidy(spark: SparkSession):
+    """What runs here loses its shuffle files as it ends, not when the driver happens to collect its garbage."""
+    return configured(spark, {_CLEANUP: "true"})
+
+
+def batches(spark: SparkSession, rows: int):
+    """What is planned and run here reads Parquet, and sends to Python, so many rows at once."""
+    return configured(spark, {k: str(rows) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")})
+
+
+#: How rows of megabytes are written: by default a page and a row group hold 100 rows before their size is looked at.
+WIDE = {"parquet.block.size": 8 << 20, "parquet.page.size": 1 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """df, computed once, written to the shared folder and read again.
 
     Lost executors cost only the tasks that ran on them, and the plan that
-    follows starts at a scan. Its shuffle files go with the write.
+    follows starts at a scan. Its shuffle files go with the write. options: of
+    the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with tidy(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,10 @@
 """The shard's scoring against all products in double precision."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
+from heliograph import runtime
 from heliograph.llm import search
 
 
@@ -51,3 +53,26 @@ def test_few_documents_are_scored_in_full(scale):
         if scale >= 1:
             assert [i for i, _ in got] == [i for i, _ in want[q]]
     assert s.full < queries * docs / 10
+
+
+def test_shards_travel_one_by_one(spark, monkeypatch):
+    """Whatever their number in a file: pages, row groups and batches hold a few shards at most."""
+    monkeypatch.setattr(search, "SHARD_DOCS", 64)
+    d = spark.range(2000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 30), i -> concat('w', pmod(hash(id, i), 5000)))) AS text").coalesce(1)
+    index = runtime.staged(search.build_index(d), "index", **runtime.WIDE | {"parquet.block.size": 100_000})
+    assert index.count() == 32
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in index.inputFiles()]
+    assert max(f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 8
+
+    seen = {}
+
+    def staged(df, name, **options):
+        seen[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))
+        return runtime.staged(df, name, **options)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(search, "staged", staged)
+    got = search.search(d, d.where("doc_id % 100 = 0"))
+    assert got.where("rank = 1 and query_id = doc_id").count() == 20
+    assert seen["search-index"][0] == search.SENT and seen["search-df"] == seen["search-hits"] == (1, 1)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
