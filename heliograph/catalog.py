@@ -221,7 +221,7 @@ _TERNARY = {
 
 
 def _named(spark, d):
-    m = F.avg("value")
+    m = sets.mean(F.col("value"))
     return table(spark, d, "events").groupBy(F.col("user_id").alias("object_idx"), F.col("event_type").alias("name")).agg(F.when(m > 50, 1).when(m < 47, -1).otherwise(0).alias("v"))
 
 

@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def mean(value: Column) -> Column:
+    """The mean of doubles by their exact decimal sum, for thresholds: the same in any order of the rows.
+
+    Where a value or the sum is beyond 20 digits before the point, or not a number, it is avg.
+    """
+    exact = value.try_cast("decimal(38,18)")
+    n = F.count(value)
+    return F.coalesce(F.when(F.count(exact) == n, F.try_sum(exact).cast("double") / F.nullif(n, F.lit(0))), F.avg(value))
+
+
 def t_and(x: Column, y: Column) -> Column:
     return F.least(x, y)
 
