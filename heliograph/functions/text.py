@@ -132,9 +132,14 @@ def media_duration(seconds: Column) -> Column:
 
 def language_by_words(words: Column, stops: dict[str, list[str]]) -> Column:
     """The language that has most of its stop words among the words, ties to the first by name; null without any."""
-    hits = F.array(*[F.struct((-F.size(F.filter(words, lambda w: w.isin(stops[k])))).alias("n"), F.lit(k).alias("lang")) for k in sorted(stops)])
-    best = F.array_min(hits)
-    return F.when(best["n"] < 0, best["lang"])
+    every = sorted({w for ws in stops.values() for w in ws})
+
+    def best(few: Column) -> Column:
+        return F.array_min(F.array(*[F.struct((-F.size(F.filter(few, lambda w: w.isin(stops[k])))).alias("n"), F.lit(k).alias("lang")) for k in sorted(stops)]))
+
+    # An argument of a function is computed once, where words would be found anew for each language.
+    found = F.transform(F.array(F.filter(words, lambda w: w.isin(every))), best)
+    return F.transform(found, lambda b: F.when(b["n"] < 0, b["lang"]))[0]
 
 
 def word_bag(weights, book):
